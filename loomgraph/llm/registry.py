@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 
 QUERIES = {
+    "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.OP9_SQL,
+}

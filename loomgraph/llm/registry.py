@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import exact_dedup, mixing, sharding
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

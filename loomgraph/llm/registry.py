@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import bpe, exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,

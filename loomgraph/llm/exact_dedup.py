@@ -52,9 +52,11 @@ def retained(keyed: DataFrame, state: str) -> DataFrame:
     """Stream ``keyed`` (digest, n_points, id, locator) into the state; gives digest, best, copies."""
     spark = keyed.sparkSession
     keyed.write.mode("append").parquet(f"{state}/input")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, PROVIDER)
+    # a store is closed once its version is committed: nothing stays open or on a local disk after the run
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         rows = spark.readStream.schema(keyed.schema).parquet(f"{state}/input")
         run = (
@@ -64,7 +66,8 @@ def retained(keyed: DataFrame, state: str) -> DataFrame:
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     kept = spark.read.format("statestore").load(f"{state}/checkpoint")
     return kept.select("key.digest", F.col("value.min").alias("best"), F.col("value.count").alias("copies"))
 

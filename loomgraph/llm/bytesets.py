@@ -15,9 +15,13 @@ PIECE = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PLAIN = np.arange(256, dtype=np.uint8)
-for _t in (_LOWER, _PLAIN):
-    _t[9:14] = 32
+_LOWER[9:14] = 32
+
+#: Letters only: lower case, bytes outside ASCII stay, everything else separates.
+LETTERS = np.full(256, 32, np.uint8)
+LETTERS[97:123] = np.arange(97, 123)
+LETTERS[65:91] = np.arange(97, 123)
+LETTERS[128:] = np.arange(128, 256)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +45,8 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
 class Words:
     """The words of a run of rows: ``text`` has them joined by one space inside each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        mapped = (_LOWER if lower else _PLAIN)[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, mapping: np.ndarray = _LOWER):
+        mapped = mapping[data]
         solid = mapped != 32
         first = np.zeros(len(mapped) + 1, bool)
         first[offsets] = True

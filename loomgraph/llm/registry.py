@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, mixing, sharding, simhash
+from . import bpe, exact_dedup, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_media": media.op5_media,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, mixing, sharding, simhash, toxicity
+from . import bpe, chat, exact_dedup, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_media": media.op5_media,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat": chat.op7_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, media, mixing, sharding, simhash, toxicity
+from . import bpe, chat, exact_dedup, html_text, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op4_html": html_text.op4_html,
     "op5_media": media.op5_media,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, media, mixing, sharding, simhash, toxicity
+from . import bpe, chat, exact_dedup, html_text, media, mixing, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -13,8 +13,8 @@ contract every non-overlapping occurrence of the minimum rank from the left, up
 to and including the first whose contraction makes a pair of a lower rank: just
 what the one-by-one order would do.
 
-Each worker process keeps the words it has seen, at most ``KNOWN`` of them; the
-result does not depend on it.
+Each worker process keeps words it has seen lately, in two generations of at
+most ``KNOWN`` words; the result does not depend on it.
 """
 
 from __future__ import annotations
@@ -31,13 +31,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytesets
 from .shared import table
 
-#: Words of a query, words kept by a worker, bytes of text taken at a time, bytes of a long word.
-QUERY_WORDS, KNOWN, PIECE, LONG = 20_000, 300_000, 1 << 22, 192
+#: Words of a query, words kept by a worker (two generations), bytes of text taken at a time, bytes of a long word.
+QUERY_WORDS, KNOWN, PIECE, LONG = 20_000, 400_000, 1 << 22, 192
 
 #: A pair's rank, its position and the length of its left token in one number; the least is the next merge.
-_BEST = "min(rank * 70368744177664 + pos * 1024 + (npos - pos)) OVER (PARTITION BY w)"
+_BEST = "min(rank * 70368744177664 + pos * 1024 + (npos - pos))"
 _SPOT, _RANK, _GONE = "((best // 1024) % 68719476736)", "(best // 70368744177664)::INT", "((best // 1024) % 68719476736 + best % 1024)"
 _PAIRS = """
   SELECT n.*, m.rank FROM (
@@ -45,11 +46,14 @@ _PAIRS = """
     WINDOW z AS (PARTITION BY w ORDER BY pos)) n
   LEFT JOIN merges m ON m.pair = n.id * 65536::BIGINT + n.nid"""
 
+#: The least per word comes from a grouping and a join, which costs less here than a second window.
+_LEAST = "SELECT p.w, p.pos, p.id, g.best FROM p JOIN (SELECT w, " + _BEST + " AS best FROM p GROUP BY w) g USING (w)"
+_MERGED = f"SELECT w, pos, CASE WHEN pos = {_SPOT} THEN {_RANK} ELSE id END AS id FROM s WHERE best IS NOT NULL AND pos <> {_GONE}"
 SHORT_SQL = f"""
 WITH RECURSIVE s(w, pos, id, best) AS (
-  SELECT w, pos, id, {_BEST} FROM ({_PAIRS.format(rows="SELECT w, pos, id FROM given")})
+  (WITH p AS MATERIALIZED ({_PAIRS.format(rows="SELECT w, pos, id FROM given")}) {_LEAST})
   UNION ALL
-  SELECT w, pos, id, {_BEST} FROM ({_PAIRS.format(rows=f"SELECT w, pos, CASE WHEN pos = {_SPOT} THEN {_RANK} ELSE id END AS id FROM s WHERE best IS NOT NULL AND pos <> {_GONE}")})
+  (WITH p AS MATERIALIZED ({_PAIRS.format(rows=_MERGED)}) {_LEAST})
 )
 SELECT w, pos, id FROM s WHERE best IS NULL"""
 
@@ -94,6 +98,7 @@ class Codec:
         # bytes are code points 256 and up here, so that any byte sequence is a string
         self.fill("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": ["".join(chr(256 + b) for b in t) for t in self.ranks]}))
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def fill(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -113,19 +118,23 @@ class Codec:
         """The bytes of each w of rows w, pos, id, by w."""
         self.fill("tokens", tokens)
         got = self.db.sql(DECODE_SQL).to_arrow_table()
-        out = []
-        for text in got["text"].to_pylist():
-            two = np.frombuffer(text.encode(), np.uint8).reshape(-1, 2)
-            out.append((((two[:, 0] & 3) << 6) | (two[:, 1] & 63)).astype(np.uint8).tobytes())
-        return got["w"].to_numpy(), out
+        data, offsets = bytesets.raw(got["text"].combine_chunks())
+        two = data.reshape(-1, 2)  # code points 256 to 511 take two bytes each
+        plain = (((two[:, 0] & 3) << 6) | (two[:, 1] & 63)).astype(np.uint8).tobytes()
+        ends = (offsets // 2).tolist()
+        return got["w"].to_numpy(), [plain[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Put (ids joined by spaces, how many, decoded bytes) of each word into ``known``."""
-        whole = [(w, r) for w in words if (r := self.ranks.get(w.encode())) is not None]
-        rest = [w for w in words if w.encode() not in self.ranks]
-        rest.sort(key=lambda w: len(w) > LONG // 4)
-        split = next((i for i, w in enumerate(rest) if len(w) > LONG // 4), len(rest))
-        for part in [rest[i : min(i + QUERY_WORDS, split)] for i in range(0, split, QUERY_WORDS)] + [[w] for w in rest[split:]]:
+        whole, short, rest = [], [], []
+        for w in words:
+            b = w.encode()
+            r = self.ranks.get(b)
+            if r is not None:
+                whole.append((w, r))
+            else:
+                (rest if len(b) > LONG else short).append(w)
+        for part in [short[i : i + QUERY_WORDS] for i in range(0, len(short), QUERY_WORDS)] + [[w] for w in rest]:
             self.store(part, self.tokens([w.encode() for w in part]))
         for i in range(0, len(whole), QUERY_WORDS):
             part = whole[i : i + QUERY_WORDS]
@@ -160,11 +169,13 @@ def coded(texts: list[str], pattern, this: Codec):
             size += len(texts[to])
             to += 1
         split = [pattern.findall(t) for t in texts[at:to]]
-        new = list({w for words in split for w in words}.difference(this.known))
-        if len(this.known) + len(new) > KNOWN:
-            this.known.clear()
-            new = list({w for words in split for w in words})
-        this.learn(new)
+        need = set().union(*split)
+        if len(this.known) > KNOWN:
+            this.older, this.known = this.known, {}
+        new = need.difference(this.known)
+        again = new.intersection(this.older)
+        this.known.update((w, this.older[w]) for w in again)
+        this.learn(list(new - again))
         for words in split:
             yield [this.known[w] for w in words]
         at = to

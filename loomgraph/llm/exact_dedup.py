@@ -105,6 +105,18 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stat
     return found.select("id", "locator", F.col("best.id").alias("keep_id"), F.col("copies").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "digest")
 
 
+def distinct_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, columns as they are; rows alike in id and text stay once."""
+    found = dedup(df, id_col=id_col, text_col=text_col)
+    gone = found.where("NOT kept").select(F.col("locator").alias("_gone"))
+    try:
+        whole = df.withColumn("_locator", F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")))
+        return whole.join(gone, F.col("_locator") == F.col("_gone"), "left_anti").drop("_locator")
+    except AnalysisException:
+        written = keep(df, "dedup-rows")
+        return distinct_rows(written, id_col=id_col, text_col=text_col)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

@@ -141,3 +141,136 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity ---------------------------------------------
+
+#: Sampled fingerprints a text, and shingles in each of them.
+TABLES, SAMPLE = 12, 4
+#: Buckets of more members are refined by a second sampled fingerprint.
+WIDE = 64
+
+
+def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole fingerprints, and rows x tables of fingerprints of samples (zero: the table has no shingle).
+
+    The distinct shingles of a text are dealt to the tables by their hashes; a
+    table's fingerprint is the SimHash of its ``sample`` least ones.  Texts of
+    Jaccard similarity J agree in a table with a chance of about J ** sample.
+    """
+    data, offsets = bytesets.raw(column)
+    whole, parts = np.zeros(len(column), np.uint64), np.zeros((len(column), tables), np.uint64)
+    for a, b in bytesets.pieces(offsets):
+        got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        row, start, end = got.shingles(words)
+        h = bytesets.xxh64(got.text, start, end)
+        whole[a:b] = majority(h, row, b - a)
+        cell = row * tables + ((h >> np.uint64(40)) % np.uint64(tables)).astype(np.int64)
+        order = np.lexsort((h, cell))
+        cell, h = cell[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (h[1:] != h[:-1])
+        cell, h = cell[new], h[new]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        rank = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
+        least = rank < sample
+        parts[a:b] = majority(h[least], cell[least], (b - a) * tables).reshape(b - a, tables)
+    return whole, parts
+
+
+def shingle_sets(column: pa.Array, words: int) -> pa.Array:
+    """The distinct shingle hashes of each text."""
+    data, offsets = bytesets.raw(column)
+    values, sizes = [], np.zeros(len(column), np.int64)
+    for a, b in bytesets.pieces(offsets):
+        got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        row, start, end = got.shingles(words)
+        h = bytesets.xxh64(got.text, start, end)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        values.append(h[new])
+        sizes[a:b] = np.bincount(row[new], minlength=b - a)
+    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
+    """id, mark (hash of the text) and group_id of the rows that are in a group of near copies.
+
+    Candidates share a bucket: a sampled fingerprint, or a component of whole
+    fingerprints linked over the grid.  In every round the best connected free
+    member of each bucket becomes its head, and the free members whose shingle
+    sets have a Jaccard similarity of at least ``similarity`` with it, verified
+    exactly, join its group.  Rounds go on until no bucket has two free members;
+    a bucket costs one pair a member and round, never all pairs.  Wide buckets
+    (one common passage) are refined by a second sampled fingerprint first.
+
+    Recall: two texts of similarity 0.8 share a bucket with a chance of 0.998.
+    Null, empty and wordless texts are alike (equal empty sets) and form one
+    group.  group_id is the smallest id of the group.  Rows alike in id and
+    text share their entry.  Other columns do not matter.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    one = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ids = one.schema["id"].dataType.simpleString()
+
+    def sketch(batches):
+        for batch in batches:
+            whole, parts = sampled(batch.column(1), words, tables, sample)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables, dtype=np.int32)), pa.array(parts.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), flat], names=["id", "mark", "fp", "keys"])
+
+    rows = one.withColumn("mark", mark).mapInArrow(sketch, f"id {ids}, mark long, fp long, keys array<long>")
+    rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
+    joined = components(links(rows.select("fp").distinct()), "near-components")
+    whole = rows.select("uid", "fp").join(joined, rows["fp"] == joined["node"], "left").select("uid", F.lit(tables).alias("t"), F.coalesce("root", "fp").alias("key"))
+    member = rows.select("uid", F.posexplode("keys").alias("t", "key")).where("key != 0").unionByName(whole).select("uid", F.xxhash64("t", "key").alias("bucket"), "t")
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    member = keep(member.join(sizes, "bucket"), "near-buckets")
+    wide = member.where(F.col("n") > WIDE).select("uid", "bucket", F.col("t").alias("own"))
+    finer = wide.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 != own").select("uid", F.xxhash64("bucket", "t2", "key2").alias("bucket"))
+    fsize = finer.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    free = keep(member.where(F.col("n") <= WIDE).select("uid", "bucket", "n").unionByName(finer.join(fsize, "bucket").select("uid", "bucket", "n")), "near-free")
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), shingle_sets(batch.column(1), words)], names=["uid", "shingles"])
+
+    wanted = free.select("uid").distinct().join(rows.select("uid", F.col("id").alias("wid"), F.col("mark").alias("wmark")), "uid")
+    texts = one.withColumn("mark", mark).join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))).select("uid", "text")
+    content = keep(texts.mapInArrow(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "near-sets")
+    ties = free.groupBy("uid").agg(F.sum("n").alias("ties"))
+    free = free.join(ties, "uid").select("uid", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"))
+    taken = None
+    while True:
+        heads = free.groupBy("bucket").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("best.uid").alias("head"))
+        pairs = keep(free.join(heads, "bucket").where("uid != head").groupBy("uid", "head").agg(F.first("place").alias("place")), "near-pairs")
+        if pairs.isEmpty():
+            break
+        a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
+        both = pairs.join(b, "uid").join(a, "head")
+        common = F.size(F.array_intersect("mine", "shingles"))
+        alike = F.when(F.size("mine") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("mine") + F.size("shingles") - common))
+        found = both.where(alike >= similarity).groupBy("uid").agg(F.min("head").alias("head"))
+        found = keep(found, "near-found")
+        taken = found if taken is None else taken.unionByName(found)
+        # heads leave their buckets, members leave all of theirs
+        free = keep(free.join(heads.withColumnRenamed("head", "uid"), ["bucket", "uid"], "left_anti").join(found.select("uid"), "uid", "left_anti"), "near-free")
+    spark = df.sparkSession
+    if taken is None:
+        return spark.createDataFrame([], f"id {ids}, mark long, group_id {ids}")
+    # a head may itself have been taken in the same round by another bucket's head
+    groups = components(taken.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups")
+    named = groups.join(rows.select(F.col("uid").alias("node"), "id", "mark"), "node")
+    least = named.groupBy("root").agg(F.min("id").alias("group_id"))
+    return keep(named.join(least, "root").select("id", "mark", "group_id"), "near-result")
+
+
+def distinct_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near copies: of each group the row with the smallest id stays, columns as they are."""
+    found = near_copies(df, id_col=id_col, text_col=text_col, **options)
+    gone = found.where(F.col("id").isNull() | (F.col("id") != F.col("group_id"))).select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark")), "left_anti")

@@ -176,8 +176,7 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def hard_negatives(shown: DataFrame, selected: DataFrame, least: int = 1) -> DataFrame:
     """What was shown before the selected chunk, where that stood at ``least`` (0-based) or later."""
-    s = selected.select("query_id", F.col("chunk_id").alias("chosen"))
-    place = shown.join(s, (shown["query_id"] == s["query_id"]) & (shown["chunk_id"] == s["chosen"])).select(shown["query_id"], F.col("rank").alias("chosen_rank")).where(F.col("chosen_rank") - 1 >= least)
+    place = shown.join(selected.select("query_id", "chunk_id"), ["query_id", "chunk_id"]).select("query_id", F.col("rank").alias("chosen_rank")).where(F.col("chosen_rank") - 1 >= least)
     return shown.join(place, "query_id").where(F.col("rank") < F.col("chosen_rank")).select("query_id", "chunk_id", "rank")
 
 

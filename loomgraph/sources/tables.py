@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # event time must be an instant for watermarks; the tables store wall-clock times in UTC
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -62,10 +62,12 @@ def cheapest(edges: DataFrame, starts: DataFrame, most_cost: float = 30.0, depth
     return best.where("node != start")
 
 
-def edge_cost(kind, is_async=F.lit(False), conditional=F.lit(False), loop=F.lit(False), relative=F.lit(False), wildcard=F.lit(False)):
+def edge_cost(kind, is_async=None, conditional=None, loop=None, relative=None, wildcard=None):
     """Base cost of a kind (5 if unknown) times factors of how the edge is used."""
     base = F.when(kind == "CALLS", 1.0).when(kind == "CONTAINS", 0.5).when(kind == "REFERENCES", 2.0).when(kind == "IMPORTS", 1.5).when(kind == "DATAFLOW", 1.2).otherwise(5.0)
     for flag, factor in ((is_async, 0.9), (conditional, 1.3), (loop, 1.2), (relative, 0.8), (wildcard, 1.5)):
+        if flag is None:
+            continue
         base = base * F.when(flag, factor).otherwise(1.0)
     return base
 

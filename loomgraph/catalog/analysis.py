@@ -14,7 +14,7 @@ from ..sources.store import ChunkFilter
 from ..sources.tables import read
 from .base import query
 
-_PATTERNS = [("r1", "*brass"), ("r2", "STANDARD*"), ("r3", "*anod*"), ("r4", "ECONOMY BURNISHED NICKEL"), ("r5", "promo*steel"), ("r6", "*"), ("r7", ""), ("r8", "S*l")]
+_PATTERNS = [("r1", "*bolt"), ("r2", "NEW*"), ("r3", "*old*"), ("r4", "HOT ROD"), ("r5", "bl*bolt"), ("r6", "*"), ("r7", ""), ("r8", "C*D")]
 _RULES = "(VALUES " + ", ".join(f"('{r}', '{p}')" for r, p in _PATTERNS) + ") v(rule_id, pattern)"
 
 
@@ -23,17 +23,17 @@ def _rules(spark):
 
 
 def _entities(spark, sf):
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
 
 
-@query("j09_rule_matches", f"SELECT rule_id, p_partkey AS id FROM part JOIN {_RULES} ON pattern <> '' AND regexp_full_match(lower(p_type), replace(lower(pattern), '*', '.*'))")
+@query("j09_rule_matches", f"SELECT rule_id, p_partkey AS id FROM part JOIN {_RULES} ON pattern <> '' AND regexp_full_match(lower(p_name), replace(lower(pattern), '*', '.*'))")
 def j09(spark, sf):
     return U.matches(_rules(spark), _entities(spark, sf))
 
 
-@query("j10_exact_index", "SELECT p_partkey, rule FROM part JOIN (VALUES ('STANDARD POLISHED TIN', 'Brand#13', 'x'), ('PROMO BRUSHED STEEL', 'Brand#22', 'y')) v(t, b, rule) ON p_type = t AND p_brand = b")
+@query("j10_exact_index", "SELECT p_partkey, rule FROM part JOIN (VALUES ('STANDARD', 'Brand#13', 'x'), ('PROMO', 'Brand#22', 'y')) v(t, b, rule) ON p_type = t AND p_brand = b")
 def j10(spark, sf):
-    index = spark.createDataFrame([("STANDARD POLISHED TIN", "Brand#13", "x"), ("PROMO BRUSHED STEEL", "Brand#22", "y")], "p_type string, p_brand string, rule string")
+    index = spark.createDataFrame([("STANDARD", "Brand#13", "x"), ("PROMO", "Brand#22", "y")], "p_type string, p_brand string, rule string")
     return read(spark, sf, "part").join(index, ["p_type", "p_brand"]).select("p_partkey", "rule")
 
 
@@ -50,11 +50,11 @@ def f35(spark, sf):
     return read(spark, sf, "part").select("p_partkey", U.is_const(arg)["ok"].alias("const"), U.is_not_const(arg)["ok"].alias("not_const"), U.is_string_like(arg)["ok"].alias("string_like"), U.is_int_like(arg)["ok"].alias("int_like"), U.length_bound(arg, 1, 4)["ok"].alias("bound"))
 
 
-@query("f34_predicate_chain", "SELECT p_partkey, ok, round(CASE WHEN p_type LIKE '%BRASS' THEN 0.1 + CASE WHEN shell THEN 0.2 ELSE 0 END ELSE 0 END, 6)::DOUBLE AS delta FROM (SELECT p_partkey, p_type, p_size % 2 = 0 AS shell, p_type LIKE '%BRASS' AND p_size % 2 = 0 AND p_size % 3 <> 0 AS ok FROM part)")
+@query("f34_predicate_chain", "SELECT p_partkey, ok, round(CASE WHEN p_name LIKE '%bolt' THEN 0.1 + CASE WHEN shell THEN 0.2 ELSE 0 END ELSE 0 END, 6)::DOUBLE AS delta FROM (SELECT p_partkey, p_name, p_size % 2 = 0 AS shell, p_name LIKE '%bolt' AND p_size % 2 = 0 AND p_size % 3 <> 0 AS ok FROM part)")
 def f34(spark, sf):
     kwargs = F.create_map(F.lit("shell"), F.when(F.col("p_size") % 2 == 0, "True").otherwise("False"))
     guards = F.array(F.struct(F.lit("sink").alias("kind"), F.lit("is_safe(").alias("pattern"), F.when(F.col("p_size") % 3 == 0, "block").otherwise("allow").alias("effect"), F.lit(0.5).alias("multiplier")))
-    v = U.chain(U.verdict(U.type_endswith(F.col("p_type"), "BRASS")), U.is_not_const(F.col("p_name")), U.kwarg(kwargs, "shell", "True"), U.guard(guards, "sink", "is_safe"))
+    v = U.chain(U.verdict(U.type_endswith(F.col("p_name"), "bolt")), U.is_not_const(F.col("p_name")), U.kwarg(kwargs, "shell", "True"), U.guard(guards, "sink", "is_safe"))
     return read(spark, sf, "part").select("p_partkey", v["ok"].alias("ok"), v["delta"].alias("delta"))
 
 
@@ -414,10 +414,10 @@ def u10(spark, sf):
     return read(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
 
 
-@query("u01_selector_algebra", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT p_partkey FROM part WHERE p_size > 40 INTERSECT SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL'")
+@query("u01_selector_algebra", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT p_partkey FROM part WHERE p_size > 40 INTERSECT SELECT p_partkey FROM part WHERE p_type LIKE '%ARD'")
 def u01(spark, sf):
     p = read(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type")
-    return p.where((F.col("p_brand") == "Brand#13") | ((F.col("p_size") > 40) & F.col("p_type").like("%STEEL"))).select("p_partkey")
+    return p.where((F.col("p_brand") == "Brand#13") | ((F.col("p_size") > 40) & F.col("p_type").like("%ARD"))).select("p_partkey")
 
 
 @query("f39_wildcards", "SELECT * FROM (VALUES ('*.Cursor', 'sqlite3.cursor', true), ('execute*', 'executemany', true), ('x', 'X', true), ('*', '', false), ('a.c', 'abc', false)) v(pattern, text, hit)")

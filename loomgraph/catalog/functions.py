@@ -69,14 +69,14 @@ def c08(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.normalized_type(raw, {"My.Type": "custom"}).alias("type"))
 
 
-_PATTERNS = "(VALUES ('*brass'), ('standard*'), ('*anod*'), ('ECONOMY BURNISHED NICKEL'), ('promo*steel'), (''))"
+_PATTERNS = "(VALUES ('*BOLT'), ('new*'), ('*old*'), ('HOT rod'), ('bl*bolt'), (''))"
 
 
-@query("c09_wildcard_match", f"SELECT p_partkey, pattern, pattern <> '' AND regexp_full_match(lower(p_type), replace(lower(pattern), '*', '.*')) AS hit FROM part, {_PATTERNS} v(pattern)")
+@query("c09_wildcard_match", f"SELECT p_partkey, pattern, pattern <> '' AND regexp_full_match(lower(p_name), replace(lower(pattern), '*', '.*')) AS hit FROM part, {_PATTERNS} v(pattern)")
 def c09(spark, sf):
-    patterns = ["*brass", "standard*", "*anod*", "ECONOMY BURNISHED NICKEL", "promo*steel", ""]
-    rows = read(spark, sf, "part").select("p_partkey", "p_type", F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
-    return rows.select("p_partkey", "pattern", X.wildcard_match(F.col("pattern"), F.col("p_type")).alias("hit"))
+    patterns = ["*BOLT", "new*", "*old*", "HOT rod", "bl*bolt", ""]
+    rows = read(spark, sf, "part").select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
+    return rows.select("p_partkey", "pattern", X.wildcard_match(F.col("pattern"), F.col("p_name")).alias("hit"))
 
 
 @query("c10_pattern_class", "SELECT pattern, class FROM (VALUES ('*x', 'suffix'), ('x*', 'prefix'), ('*x*', 'contains'), ('x', 'exact'), ('a*b', 'complex'), ('*', 'complex')) v(pattern, class)")

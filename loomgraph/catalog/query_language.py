@@ -41,9 +41,9 @@ def f02(spark, sf):
     return NodeQuery(nodes(spark, sf)).filter("order").filter("part").execute().select("id", "name")
 
 
-@query("f03_where_field", _N + "SELECT id FROM nodes WHERE kind = 'customer' AND file_path = 'BUILDING' AND coalesce(metadata, '') = '100'")
+@query("f03_where_field", _N + "SELECT id FROM nodes WHERE kind = 'part' AND name = 'new bolt' AND coalesce(metadata, '') = '36'")
 def f03(spark, sf):
-    return NodeQuery(nodes(spark, sf)).filter("customer").where_field("file_path", "BUILDING").where_field("balance", "100").execute().select("id")
+    return NodeQuery(nodes(spark, sf)).filter("part").where_field("name", "new bolt").where_field("size", "36").execute().select("id")
 
 
 @query("f03_null_is_empty", _N + "SELECT id FROM nodes WHERE coalesce(file_path, '') = ''")
@@ -51,14 +51,14 @@ def f03b(spark, sf):
     return NodeQuery(nodes(spark, sf)).where_field("file_path", "").execute().select("id")
 
 
-@query("f05_where_fn", _N + "SELECT id, value FROM nodes WHERE kind = 'part' AND value > 1500")
+@query("f05_where_fn", _N + "SELECT id, value FROM nodes WHERE kind = 'part' AND value > 950")
 def f05(spark, sf):
-    return NodeQuery(nodes(spark, sf)).filter("part").where(lambda: F.col("value") > 1500).execute().select("id", "value")
+    return NodeQuery(nodes(spark, sf)).filter("part").where(lambda: F.col("value") > 950).execute().select("id", "value")
 
 
-@query("f06_expression_filter", _N + "SELECT id FROM nodes WHERE kind = 'part' AND value BETWEEN 1000 AND 1200 AND name LIKE '%a%'")
+@query("f06_expression_filter", _N + "SELECT id FROM nodes WHERE kind = 'part' AND value BETWEEN 905 AND 980 AND name LIKE '%o%'")
 def f06(spark, sf):
-    return NodeQuery(nodes(spark, sf)).filter("part").where(F.expr("value between 1000 and 1200")).where(F.expr("name like '%a%'")).execute().select("id")
+    return NodeQuery(nodes(spark, sf)).filter("part").where(F.expr("value between 905 and 980")).where(F.expr("name like '%o%'")).execute().select("id")
 
 
 @query("f08_edge_kind", with_(EDGES) + "SELECT src, dst FROM edges WHERE kind = 'CALLS'")
@@ -117,9 +117,9 @@ def f23(spark, sf):
     return e.groupBy(E.call.column().alias("call"), E.dfg.column().alias("dfg"), E.cfg.column().alias("cfg")).agg(F.count("*").alias("n"))
 
 
-@query("f24_node_filter", _N + "SELECT id FROM nodes WHERE kind = 'part' AND name LIKE 'a%' AND file_path = 'Brand#13'")
+@query("f24_node_filter", _N + "SELECT id FROM nodes WHERE kind = 'part' AND name LIKE 'n%' AND file_path = 'Brand#13'")
 def f24(spark, sf):
-    return nodes(spark, sf).where((F.col("kind") == "part") & F.col("name").startswith("a") & (F.col("file_path") == "Brand#13")).select("id")
+    return nodes(spark, sf).where((F.col("kind") == "part") & F.col("name").startswith("n") & (F.col("file_path") == "Brand#13")).select("id")
 
 
 @query("f25_nodes_in_file", _N + "SELECT kind, file_path, count(*) AS n FROM nodes WHERE file_path IS NOT NULL GROUP BY ALL")

@@ -179,10 +179,10 @@ def a22(spark, sf):
     return _r(R.spearman(r.where("source = 'lexical'"), r.where("source = 'vector'")), "rho")
 
 
-@query("r23_hard_negatives", _RRF + "SELECT t.query_id, t.chunk_id, t.rank FROM top t JOIN top s ON s.query_id = t.query_id AND s.rank = 2 + t.query_id % 4 WHERE t.rank < s.rank AND s.rank - 1 >= 2")
+@query("r23_hard_negatives", _RRF + "SELECT t.query_id, t.chunk_id, t.rank FROM top t JOIN top s ON s.query_id = t.query_id AND s.rank = 2 + t.query_id // 20 % 4 WHERE t.rank < s.rank AND s.rank - 1 >= 2")
 def r23(spark, sf):
     top = R.top_k(_fused(spark, sf), 100)
-    chosen = top.where(F.col("rank") == 2 + F.col("query_id") % 4).select("query_id", "chunk_id")
+    chosen = top.where(F.col("rank") == 2 + F.floor(F.col("query_id") / 20) % 4).select("query_id", "chunk_id")
     return R.hard_negatives(top, chosen, 2).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -35,7 +35,7 @@ from . import bytesets
 from .shared import table
 
 #: Words of a query, words kept by a worker (two generations), bytes of text taken at a time, bytes of a long word.
-QUERY_WORDS, KNOWN, PIECE, LONG = 20_000, 400_000, 1 << 22, 192
+QUERY_WORDS, KNOWN, PIECE, LONG = 20_000, 300_000, 1 << 21, 192
 
 #: A pair's rank, its position and the length of its left token in one number; the least is the next merge.
 _BEST = "min(rank * 70368744177664 + pos * 1024 + (npos - pos))"
@@ -93,12 +93,14 @@ class Codec:
             raise ValueError("tokens of 1024 bytes or ids over 65535 do not fit the packed sort key")
         cuts = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": False})
         self.fill("merges", pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "rank": pa.array([r for _, r in cuts], pa.int32())}))
         # bytes are code points 256 and up here, so that any byte sequence is a string
         self.fill("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": ["".join(chr(256 + b) for b in t) for t in self.ranks]}))
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        # a word's ids, joined by spaces; what its ids decode to is kept only where that is another text
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.other: dict[str, bytes] = {}
 
     def fill(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -125,7 +127,7 @@ class Codec:
         return got["w"].to_numpy(), [plain[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
     def learn(self, words: list[str]) -> None:
-        """Put (ids joined by spaces, how many, decoded bytes) of each word into ``known``."""
+        """Encode words, decode their ids again, and remember both."""
         whole, short, rest = [], [], []
         for w in words:
             b = w.encode()
@@ -148,7 +150,16 @@ class Codec:
         ends = np.searchsorted(w[order], np.arange(len(words) + 1))
         _, plain = self.decoded(tokens)
         for k, word in enumerate(words):
-            self.known[word] = (" ".join(names[ends[k] : ends[k + 1]]), int(ends[k + 1] - ends[k]), plain[k])
+            self.known[word] = " ".join(names[ends[k] : ends[k + 1]])
+            if plain[k] != word.encode():
+                self.other[word] = plain[k]
+
+    def joined(self, words: list[str]) -> tuple[str, bytes]:
+        """Ids (joined by spaces) and decoded bytes of a text from its words, which are known."""
+        ids = " ".join(map(self.known.__getitem__, words))
+        if self.other and not self.other.keys().isdisjoint(words):
+            return ids, b"".join(self.other.get(w, w.encode()) for w in words)
+        return ids, "".join(words).encode()
 
 
 def codec(ranks_file: bytes) -> Codec:
@@ -161,7 +172,7 @@ def codec(ranks_file: bytes) -> Codec:
 
 
 def coded(texts: list[str], pattern, this: Codec):
-    """Yields, for each text, the coded words in order."""
+    """Yields the ids (joined by spaces) and the decoded bytes of each text."""
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -176,8 +187,7 @@ def coded(texts: list[str], pattern, this: Codec):
         again = new.intersection(this.older)
         this.known.update((w, this.older[w]) for w in again)
         this.learn(list(new - again))
-        for words in split:
-            yield [this.known[w] for w in words]
+        yield from map(this.joined, split)
         at = to
 
 
@@ -194,7 +204,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern:
     def run(batches):
         this, cut = codec(sent.value), regex.compile(pattern)
         for batch in batches:
-            cols = list(zip(*(row(words) for words in coded(batch.column(1).to_pylist(), cut, this)), strict=True))
+            cols = list(zip(*(row(*x) for x in coded(batch.column(1).to_pylist(), cut, this)), strict=True))
             full = pa.schema([batch.schema.field(0).with_name("id"), *fields])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)]], schema=full)
 
@@ -209,7 +219,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
     Null and empty texts have no ids.  Rows come back as often as they came,
     other columns do not matter, an empty table gives an empty table.
     """
-    return _run(df, id_col, text_col, ranks, pattern, lambda words: ([int(i) for x in words for i in x[0].split()],), "ids array<int>")
+    return _run(df, id_col, text_col, ranks, pattern, lambda ids, plain: ([int(i) for i in ids.split()],), "ids array<int>")
 
 
 def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -237,9 +247,8 @@ def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: st
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, bytes binary")
 
 
-def _digest(words) -> tuple[int, str, str]:
-    joined = " ".join([x[0] for x in words])
-    return sum([x[1] for x in words]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in words])).hexdigest()
+def _digest(ids: str, plain: bytes) -> tuple[int, str, str]:
+    return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
 
 
 def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -26,7 +26,6 @@ import html
 import re
 from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window

@@ -7,37 +7,37 @@ costs a re-read, never a recomputation of everything before it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import shared_path
+
+__all__ = ["SPACES", "keep", "shared_path", "small_batches", "squeezed", "table"]
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomgraph.shared.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("loomgraph.shared.dir", named)
-    return named.rstrip("/")
+#: Rows of an Arrow batch.  Texts are long: at the default of 10,000 rows a batch of whole texts takes tens of MB in
+#: the executor and in its Python worker, several times over.
+BATCH_ROWS = "2000"
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{base_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return storage.keep(df, label)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

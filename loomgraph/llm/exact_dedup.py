@@ -53,8 +53,9 @@ def retained(keyed: DataFrame, state: str) -> DataFrame:
     spark = keyed.sparkSession
     keyed.write.mode("append").parquet(f"{state}/input")
     # a store is closed once its version is committed: nothing stays open or on a local disk after the run
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
-    before = {name: spark.conf.get(name) for name in settings}
+    store = "spark.sql.streaming.stateStore."
+    settings = {f"{store}providerClass": PROVIDER, f"{store}unloadOnCommit": "true", f"{store}rocksdb.writeBufferSizeMB": "8", f"{store}rocksdb.blockCacheSizeMB": "8"}
+    before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
@@ -67,7 +68,10 @@ def retained(keyed: DataFrame, state: str) -> DataFrame:
         run.awaitTermination()
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     kept = spark.read.format("statestore").load(f"{state}/checkpoint")
     return kept.select("key.digest", F.col("value.min").alias("best"), F.col("value.count").alias("copies"))
 

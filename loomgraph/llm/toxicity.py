@@ -30,7 +30,7 @@ from .shared import keep, table
 TRAIN_ROWS, FEATURES = 16_384, 512
 #: Bytes of a word's beginnings that are features; a feature must be in so many training rows.
 PREFIXES, LEAST = (3, 4, 5, 6, 7, 8), 4
-FOLDS, L2, ROUNDS = 4, 1e-3, 250
+FOLDS, L2, ROUNDS = 4, 1e-3, 100
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_
         for batch in batches:
             data, offsets = bytesets.raw(batch.column(0))
             y = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(names))], 1) if len(batch) else np.zeros((0, len(names)))
-            for a, b in bytesets.pieces(offsets, 8 * bytesets.PIECE):
+            for a, b in bytesets.pieces(offsets):
                 row, feature = word_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 each, inverse = np.unique(feature, return_inverse=True)
                 sums = [np.bincount(inverse, minlength=len(each))] + [np.bincount(inverse, y[a:b, k][row], len(each)) for k in range(len(names))]

@@ -83,7 +83,7 @@ def f10b(spark, sf):
     out = parts[0].execute()
     for p in parts[1:]:
         out = out.unionByName(p.execute())
-    return out.select("dst", "kind")
+    return out.distinct().select("dst", "kind")
 
 
 @query("f11_selector_union", _N + "SELECT id FROM nodes WHERE id = 'r:1' OR kind = 'nation' OR (name = 'F' AND file_path = '1-URGENT')")

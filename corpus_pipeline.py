@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of the decoded bytes."""
-    return bpe.digests(docs).withColumnRenamed("id", "doc_id")
+    return bpe.digests(docs, forget=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

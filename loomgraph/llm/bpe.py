@@ -197,7 +197,7 @@ def _ranks(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _run(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, row, schema: str) -> DataFrame:
+def _run(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, row, schema: str, forget: bool = False) -> DataFrame:
     sent = _ranks(df.sparkSession, ranks)
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
@@ -207,6 +207,11 @@ def _run(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern:
             cols = list(zip(*(row(*x) for x in coded(batch.column(1).to_pylist(), cut, this)), strict=True))
             full = pa.schema([batch.schema.field(0).with_name("id"), *fields])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)]], schema=full)
+        if forget:
+            this.db.close()
+            del this
+            sys.__dict__.pop("_loomgraph_bpe", None)
+        bytesets.trim()
 
     kinds = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
@@ -251,13 +256,14 @@ def _digest(ids: str, plain: bytes) -> tuple[int, str, str]:
     return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
 
 
-def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, forget: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, word by word.
 
     A text's ids are those of its words in order, so both the ids and their
-    decoded bytes are put together from the words' results.
+    decoded bytes are put together from the words' results.  ``forget``: workers
+    drop their words after each task, for jobs whose other stages need the memory.
     """
-    return _run(df, id_col, text_col, ranks, pattern, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(df, id_col, text_col, ranks, pattern, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,17 +149,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLES, SAMPLE = 12, 4
 #: Buckets of more members are refined by a second sampled fingerprint.
 WIDE = 64
+#: Heads of a bucket in the rounds after the first one, which takes the large groups by one head each.
+HEADS = 16
 
 
-def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole fingerprints, and rows x tables of fingerprints of samples (zero: the table has no shingle).
+def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole fingerprints, rows x tables of fingerprints of samples (zero: the table has no
+    shingle), and numbers of distinct shingles.
 
     The distinct shingles of a text are dealt to the tables by their hashes; a
     table's fingerprint is the SimHash of its ``sample`` least ones.  Texts of
     Jaccard similarity J agree in a table with a chance of about J ** sample.
     """
     data, offsets = bytesets.raw(column)
-    whole, parts = np.zeros(len(column), np.uint64), np.zeros((len(column), tables), np.uint64)
+    whole, parts, sizes = np.zeros(len(column), np.uint64), np.zeros((len(column), tables), np.uint64), np.zeros(len(column), np.int64)
     for a, b in bytesets.pieces(offsets):
         got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         row, start, end = got.shingles(words)
@@ -171,11 +174,12 @@ def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.
         new = np.ones(len(h), bool)
         new[1:] = (cell[1:] != cell[:-1]) | (h[1:] != h[:-1])
         cell, h = cell[new], h[new]
+        sizes[a:b] = np.bincount(cell // tables, minlength=b - a)
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         rank = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
         least = rank < sample
         parts[a:b] = majority(h[least], cell[least], (b - a) * tables).reshape(b - a, tables)
-    return whole, parts
+    return whole, parts, sizes
 
 
 def shingle_sets(column: pa.Array, words: int) -> pa.Array:
@@ -200,12 +204,14 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """id, mark (hash of the text) and group_id of the rows that are in a group of near copies.
 
     Candidates share a bucket: a sampled fingerprint, or a component of whole
-    fingerprints linked over the grid.  In every round the best connected free
+    fingerprints linked over the grid, among texts of similar size.  In every round the best connected free
     member of each bucket becomes its head, and the free members whose shingle
     sets have a Jaccard similarity of at least ``similarity`` with it, verified
-    exactly, join its group.  Rounds go on until no bucket has two free members;
-    a bucket costs one pair a member and round, never all pairs.  Wide buckets
-    (one common passage) are refined by a second sampled fingerprint first.
+    exactly, join its group.  Later rounds take up to 16 heads a bucket.  Rounds
+    go on until no bucket has two free members; a bucket costs a pair a member,
+    head and round, never all pairs.  Buckets that
+    are still wide after the first round (one common passage) are refined by a
+    second sampled fingerprint.
 
     Recall: two texts of similarity 0.8 share a bucket with a chance of 0.998.
     Null, empty and wordless texts are alike (equal empty sets) and form one
@@ -218,36 +224,52 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     def sketch(batches):
         for batch in batches:
-            whole, parts = sampled(batch.column(1), words, tables, sample)
+            whole, parts, sizes = sampled(batch.column(1), words, tables, sample)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables, dtype=np.int32)), pa.array(parts.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), flat], names=["id", "mark", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), flat, pa.array(sizes.astype(np.int32))], names=["id", "mark", "fp", "keys", "n"])
+        bytesets.trim()
 
-    rows = one.withColumn("mark", mark).mapInArrow(sketch, f"id {ids}, mark long, fp long, keys array<long>")
+    rows = one.withColumn("mark", mark).mapInArrow(sketch, f"id {ids}, mark long, fp long, keys array<long>, n int")
     rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
     joined = components(links(rows.select("fp").distinct()), "near-components")
-    whole = rows.select("uid", "fp").join(joined, rows["fp"] == joined["node"], "left").select("uid", F.lit(tables).alias("t"), F.coalesce("root", "fp").alias("key"))
-    member = rows.select("uid", F.posexplode("keys").alias("t", "key")).where("key != 0").unionByName(whole).select("uid", F.xxhash64("t", "key").alias("bucket"), "t")
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = keep(member.join(sizes, "bucket"), "near-buckets")
-    wide = member.where(F.col("n") > WIDE).select("uid", "bucket", F.col("t").alias("own"))
-    finer = wide.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 != own").select("uid", F.xxhash64("bucket", "t2", "key2").alias("bucket"))
-    fsize = finer.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    free = keep(member.where(F.col("n") <= WIDE).select("uid", "bucket", "n").unionByName(finer.join(fsize, "bucket").select("uid", "bucket", "n")), "near-free")
+    # sizes of sets as alike as ``similarity`` are in one band or in neighbouring bands
+    band = F.floor(F.log(F.col("n") + 1.0) / F.lit(-np.log(similarity))).cast("int") if 0 < similarity < 1 else F.lit(0)
+    # ``next``: a row in the bucket of the band above its own; two such rows meet in their own band's bucket
+    sized = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("next"))
+    whole = sized.join(joined, sized["fp"] == joined["node"], "left").select("uid", "n", "next", F.lit(tables).alias("t"), F.xxhash64("band", F.lit(tables), F.coalesce("root", "fp")).alias("bucket"))
+    part = sized.select("uid", "n", "next", "band", F.posexplode("keys").alias("t", "key")).where("key != 0").select("uid", "n", "next", "t", F.xxhash64("band", "t", "key").alias("bucket"))
+    member = part.unionByName(whole)
+    shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    member = keep(member.join(shared, "bucket"), "near-buckets")
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), shingle_sets(batch.column(1), words)], names=["uid", "shingles"])
 
-    wanted = free.select("uid").distinct().join(rows.select("uid", F.col("id").alias("wid"), F.col("mark").alias("wmark")), "uid")
+    wanted = member.select("uid").distinct().join(rows.select("uid", F.col("id").alias("wid"), F.col("mark").alias("wmark")), "uid")
     texts = one.withColumn("mark", mark).join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))).select("uid", "text")
     content = keep(texts.mapInArrow(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "near-sets")
-    ties = free.groupBy("uid").agg(F.sum("n").alias("ties"))
-    free = free.join(ties, "uid").select("uid", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"))
-    taken = None
+    ties = member.groupBy("uid").agg(F.sum("m").alias("ties"))
+    brief = rows.select("uid", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
+    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"))
+    taken, turn = None, 0
     while True:
-        heads = free.groupBy("bucket").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("best.uid").alias("head"))
-        pairs = keep(free.join(heads, "bucket").where("uid != head").groupBy("uid", "head").agg(F.first("place").alias("place")), "near-pairs")
-        if pairs.isEmpty():
+        salt = F.pmod(F.xxhash64("uid"), F.lit(HEADS if turn else 1))
+        sizes = free.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+        if turn == 1:  # large groups are taken; what still fills wide buckets has one common passage
+            wide = sizes.where(F.col("m") > WIDE).select("bucket")
+            loose = free.join(wide, "bucket").select("uid", "n", "next", "t", "brief", "bucket", "place")
+            finer = loose.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 > t").select("uid", "n", "next", "t", "brief", F.xxhash64("bucket", "t2", "key2").alias("bucket"), "place")
+            free = keep(free.join(wide, "bucket", "left_anti").unionByName(finer, allowMissingColumns=True), "near-free")
+            sizes = free.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+        turn += 1
+        heads = free.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("place", "n", "next", "brief")).alias("best")).join(sizes, "bucket").select("bucket", F.col("best.place.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.next").alias("hnext"), F.col("best.brief").alias("hbrief"))
+        heads = keep(heads, "near-heads")
+        close = (F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("next") + F.col("hnext") < 2)
+        # a pair is made in the first table that it shares, where it is or will be compared
+        seen = F.exists(F.zip_with(F.slice("brief", 1, F.col("t")), F.slice("hbrief", 1, F.col("t")), lambda x, y: (x == y) & (x != 0)), lambda z: z)
+        pairs = keep(free.join(heads, "bucket").where((F.col("uid") != F.col("head")) & close & ~seen).select("uid", "head").distinct(), "near-pairs")
+        if heads.isEmpty():
             break
         a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
         both = pairs.join(b, "uid").join(a, "head")
@@ -256,8 +278,9 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         found = both.where(alike >= similarity).groupBy("uid").agg(F.min("head").alias("head"))
         found = keep(found, "near-found")
         taken = found if taken is None else taken.unionByName(found)
-        # heads leave their buckets, members leave all of theirs
-        free = keep(free.join(heads.withColumnRenamed("head", "uid"), ["bucket", "uid"], "left_anti").join(found.select("uid"), "uid", "left_anti"), "near-free")
+        # heads leave their buckets, members leave all of theirs, and buckets of one are done
+        left = free.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti").join(found.select("uid"), "uid", "left_anti")
+        free = keep(left.join(sizes.select("bucket"), "bucket", "left_semi").select("uid", "n", "next", "t", "brief", "bucket", "place"), "near-free")
     spark = df.sparkSession
     if taken is None:
         return spark.createDataFrame([], f"id {ids}, mark long, group_id {ids}")

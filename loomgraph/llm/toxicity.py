@@ -252,6 +252,7 @@ def clean(df: DataFrame, chain: Chain, category: str, *, text_col: str = "text")
         for batch in batches:
             p = chain.probabilities(*bytesets.raw(batch.column(place)))[:, at]
             yield batch.filter(pa.array(p <= cut))
+        bytesets.trim()
 
     return df.mapInArrow(run, df.schema)
 

@@ -149,7 +149,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLES, SAMPLE = 12, 4
 #: Buckets of more members are refined by a second sampled fingerprint.
 WIDE = 64
-#: Heads of a bucket in the rounds after the first one, which takes the large groups by one head each.
+#: Heads of a wide bucket in the second round, doubled in each later one; the first round takes the large groups by one head each.
 HEADS = 16
 
 
@@ -204,12 +204,14 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """id, mark (hash of the text) and group_id of the rows that are in a group of near copies.
 
     Candidates share a bucket: a sampled fingerprint, or a component of whole
-    fingerprints linked over the grid, among texts of similar size.  In every round the best connected free
-    member of each bucket becomes its head, and the free members whose shingle
-    sets have a Jaccard similarity of at least ``similarity`` with it, verified
-    exactly, join its group.  Later rounds take up to 16 heads a bucket.  Rounds
-    go on until no bucket has two free members; a bucket costs a pair a member,
-    head and round, never all pairs.  Buckets that
+    fingerprints linked over the grid, among texts of similar size.  In the first
+    round the best connected member of each bucket is its head and is compared
+    with all others, shingle set by shingle set; pairs with a Jaccard similarity
+    of at least ``similarity`` are links, all of which are kept, and a group is a
+    connected component.  A bucket is done when all that is left of it is in one
+    component; until then its narrow ones are compared pair by pair (but not
+    within a component) and wide ones by rounds of heads, 16 and then twice as
+    many in each round.  Buckets that
     are still wide after the first round (one common passage) are refined by a
     second sampled fingerprint.
 
@@ -251,41 +253,52 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     content = keep(texts.mapInArrow(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "near-sets")
     ties = member.groupBy("uid").agg(F.sum("m").alias("ties"))
     brief = rows.select("uid", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"))
-    taken, turn = None, 0
+    columns = ["uid", "n", "next", "t", "brief", "bucket", "place", "label"]
+    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"), F.col("uid").alias("label"))
+    linked, turn = None, 0
     while True:
-        salt = F.pmod(F.xxhash64("uid"), F.lit(HEADS if turn else 1))
-        sizes = free.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+        # a bucket whose members all have one label is done: what is left of it is connected
+        open_ = F.min("label") < F.max("label")
+        sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
         if turn == 1:  # large groups are taken; what still fills wide buckets has one common passage
             wide = sizes.where(F.col("m") > WIDE).select("bucket")
-            loose = free.join(wide, "bucket").select("uid", "n", "next", "t", "brief", "bucket", "place")
-            finer = loose.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 > t").select("uid", "n", "next", "t", "brief", F.xxhash64("bucket", "t2", "key2").alias("bucket"), "place")
-            free = keep(free.join(wide, "bucket", "left_anti").unionByName(finer, allowMissingColumns=True), "near-free")
-            sizes = free.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-        turn += 1
-        heads = free.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("place", "n", "next", "brief")).alias("best")).join(sizes, "bucket").select("bucket", F.col("best.place.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.next").alias("hnext"), F.col("best.brief").alias("hbrief"))
-        heads = keep(heads, "near-heads")
+            loose = free.join(wide, "bucket").select(columns)
+            finer = loose.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 > t").withColumn("bucket", F.xxhash64("bucket", "t2", "key2")).select(columns)
+            free = keep(free.join(wide, "bucket", "left_anti").select(columns).unionByName(finer), "near-free")
+            sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
+        if sizes.isEmpty():
+            break
+        free = free.join(sizes, "bucket")
+        # the first round takes the large groups by one head a bucket; later, twice the heads in every round
+        many = free.where(F.col("m") > (WIDE if turn else 0))
+        salt = F.pmod(F.xxhash64("uid"), F.lit(HEADS << min(turn - 1, 24) if turn else 1))
+        heads = many.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("place", "n", "next", "brief", "label")).alias("best"))
+        heads = keep(heads.select("bucket", F.col("best.place.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.next").alias("hnext"), F.col("best.brief").alias("hbrief"), F.col("best.label").alias("hlabel")), "near-heads")
+        apart = (F.col("uid") != F.col("head")) & (F.col("label") != F.col("hlabel"))
         close = (F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("next") + F.col("hnext") < 2)
         # a pair is made in the first table that it shares, where it is or will be compared
         seen = F.exists(F.zip_with(F.slice("brief", 1, F.col("t")), F.slice("hbrief", 1, F.col("t")), lambda x, y: (x == y) & (x != 0)), lambda z: z)
-        pairs = keep(free.join(heads, "bucket").where((F.col("uid") != F.col("head")) & close & ~seen).select("uid", "head").distinct(), "near-pairs")
-        if heads.isEmpty():
-            break
+        pairs = many.join(heads, "bucket").where(apart & close & ~seen).select("uid", "head")
+        if turn:  # what is left of narrow buckets is compared pair by pair
+            few = free.where(F.col("m") <= WIDE)
+            other = few.select("bucket", F.col("uid").alias("head"), F.col("n").alias("hn"), F.col("next").alias("hnext"), F.col("brief").alias("hbrief"), F.col("label").alias("hlabel"))
+            pairs = pairs.unionByName(few.join(other, "bucket").where((F.col("uid") > F.col("head")) & apart & close & ~seen).select("uid", "head"))
+        pairs = keep(pairs.distinct(), "near-pairs")
         a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
         both = pairs.join(b, "uid").join(a, "head")
         common = F.size(F.array_intersect("mine", "shingles"))
         alike = F.when(F.size("mine") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("mine") + F.size("shingles") - common))
-        found = both.where(alike >= similarity).groupBy("uid").agg(F.min("head").alias("head"))
-        found = keep(found, "near-found")
-        taken = found if taken is None else taken.unionByName(found)
-        # heads leave their buckets, members leave all of theirs, and buckets of one are done
-        left = free.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti").join(found.select("uid"), "uid", "left_anti")
-        free = keep(left.join(sizes.select("bucket"), "bucket", "left_semi").select("uid", "n", "next", "t", "brief", "bucket", "place"), "near-free")
+        found = keep(both.where(alike >= similarity).select("uid", "head"), "near-found")
+        linked = found if linked is None else linked.unionByName(found)
+        # heads leave the bucket that they were compared in; members stay until their bucket is done
+        left = many.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti")
+        groups = components(linked.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups")
+        named = groups.select(F.col("node").alias("uid"), "root")
+        free = keep(left.drop("label").join(named, "uid", "left").withColumn("label", F.coalesce("root", "uid")).select(columns), "near-free")
+        turn += 1
     spark = df.sparkSession
-    if taken is None:
+    if linked is None or linked.isEmpty():
         return spark.createDataFrame([], f"id {ids}, mark long, group_id {ids}")
-    # a head may itself have been taken in the same round by another bucket's head
-    groups = components(taken.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups")
     named = groups.join(rows.select(F.col("uid").alias("node"), "id", "mark"), "node")
     least = named.groupBy("root").agg(F.min("id").alias("group_id"))
     return keep(named.join(least, "root").select("id", "mark", "group_id"), "near-result")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -187,3 +188,40 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     found = suffix_dedup.dedup(docs(spark, rows)).collect()
     assert sorted(sum(x["length"] for x in r["spans"]) for r in found if r["id"] == 1)[1] == 140
     assert [sum(x["length"] for x in r["spans"]) for r in found if r["id"] is None] == [130]
+
+
+def joined(rows):
+    """Smallest id by id, of the components of pairs of Jaccard similarity 0.8 that share a sampled fingerprint."""
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    _, keys, _ = simhash.sampled(pa.array([t for _, t in rows]), 5, simhash.TABLES, simhash.SAMPLE)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and ((keys[i] == keys[j]) & (keys[i] != 0)).any():
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(k, least.get(find(i), k))
+    return {k: least[find(i)] for i, (k, _) in enumerate(rows)}
+
+
+def test_near_copies_keep_links_between_heads(spark):
+    """Chains A-B-C, A and C with copies of their own: B links the two groups and has the smallest id."""
+    rows = []
+    for g in range(12):
+        word = lambda kind, i: f"{kind}{g}x{i}"  # noqa: B023, E731
+        b = [word("b", i) for i in range(104)]
+        a, c = [word("a", i) for i in range(10)] + b[10:], b[:-10] + [word("c", i) for i in range(10)]
+        rows.append((100 * g, " ".join(b)))
+        for k in range(1, 4):
+            rows += [(100 * g + k, " ".join([*a[:-1], word("ka", k)])), (100 * g + 10 + k, " ".join([word("kc", k), *c[1:]]))]
+    want = joined(rows)
+    assert len(set(want.values())) < 15
+    kept = simhash.distinct_rows(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))

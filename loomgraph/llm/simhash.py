@@ -147,7 +147,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Sampled fingerprints a text, and shingles in each of them.
 TABLES, SAMPLE = 12, 4
-#: Buckets of more members are refined by a second sampled fingerprint.
+#: Buckets of more members are split by rare shingles and compared by rounds of heads.
 WIDE = 64
 #: Heads of a wide bucket in the second round, doubled in each later one; the first round takes the large groups by one head each.
 HEADS = 16
@@ -200,6 +200,20 @@ def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
+def prefixes(content: DataFrame, uids: DataFrame, similarity: float) -> DataFrame:
+    """uid, token: the rarest shingles of each text (of ``content``: uid, shingles) of ``uids``, shared ones only.
+
+    In one order of all shingles, two sets of Jaccard similarity s share one of
+    the first n - ceil(s * n) + 1 of each (n its size).  Empty sets share token 0.
+    """
+    each = keep(content.join(uids, "uid", "left_semi").select("uid", F.explode_outer("shingles").alias("token")).select("uid", F.coalesce("token", F.lit(0)).alias("token")), "near-tokens")
+    often = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token")))
+    ranked = each.join(often, "token", "left").groupBy("uid").agg(order.alias("order"))
+    length = F.size("order") - F.ceil(similarity * F.size("order") - 1e-6).cast("int") + 1
+    return ranked.select("uid", F.explode(F.slice("order", F.lit(1), F.least(length, F.size("order")))).alias("o")).where("o.c > 1").select("uid", "o.token")
+
+
 def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """id, mark (hash of the text) and group_id of the rows that are in a group of near copies.
 
@@ -211,9 +225,9 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     connected component.  A bucket is done when all that is left of it is in one
     component; until then its narrow ones are compared pair by pair (but not
     within a component) and wide ones by rounds of heads, 16 and then twice as
-    many in each round.  Buckets that
-    are still wide after the first round (one common passage) are refined by a
-    second sampled fingerprint.
+    many in each round.  Buckets that are still wide after the first round (one
+    common passage) are split by the rarest shingles of their members, at least
+    one of which any two texts of that similarity share: no pair is lost.
 
     Recall: two texts of similarity 0.8 share a bucket with a chance of 0.998.
     Null, empty and wordless texts are alike (equal empty sets) and form one
@@ -238,8 +252,8 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     band = F.floor(F.log(F.col("n") + 1.0) / F.lit(-np.log(similarity))).cast("int") if 0 < similarity < 1 else F.lit(0)
     # ``next``: a row in the bucket of the band above its own; two such rows meet in their own band's bucket
     sized = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("next"))
-    whole = sized.join(joined, sized["fp"] == joined["node"], "left").select("uid", "n", "next", F.lit(tables).alias("t"), F.xxhash64("band", F.lit(tables), F.coalesce("root", "fp")).alias("bucket"))
-    part = sized.select("uid", "n", "next", "band", F.posexplode("keys").alias("t", "key")).where("key != 0").select("uid", "n", "next", "t", F.xxhash64("band", "t", "key").alias("bucket"))
+    whole = sized.join(joined, sized["fp"] == joined["node"], "left").select("uid", "n", "next", "band", F.lit(tables).alias("t"), F.xxhash64("band", F.lit(tables), F.coalesce("root", "fp")).alias("bucket"))
+    part = sized.select("uid", "n", "next", "band", F.posexplode("keys").alias("t", "key")).where("key != 0").select("uid", "n", "next", "band", "t", F.xxhash64("band", "t", "key").alias("bucket"))
     member = part.unionByName(whole)
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     member = keep(member.join(shared, "bucket"), "near-buckets")
@@ -253,8 +267,8 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     content = keep(texts.mapInArrow(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "near-sets")
     ties = member.groupBy("uid").agg(F.sum("m").alias("ties"))
     brief = rows.select("uid", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    columns = ["uid", "n", "next", "t", "brief", "bucket", "place", "label"]
-    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"), F.col("uid").alias("label"))
+    columns = ["uid", "n", "next", "band", "t", "brief", "bucket", "place", "label"]
+    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "band", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"), F.col("uid").alias("label"))
     linked, turn = None, 0
     while True:
         # a bucket whose members all have one label is done: what is left of it is connected
@@ -262,8 +276,10 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
         if turn == 1:  # large groups are taken; what still fills wide buckets has one common passage
             wide = sizes.where(F.col("m") > WIDE).select("bucket")
-            loose = free.join(wide, "bucket").select(columns)
-            finer = loose.join(rows.select("uid", F.posexplode("keys").alias("t2", "key2")).where("key2 != 0"), "uid").where("t2 > t").withColumn("bucket", F.xxhash64("bucket", "t2", "key2")).select(columns)
+            loose = keep(free.join(wide, "bucket").dropDuplicates(["uid", "band"]), "near-wide")
+            finer = loose.join(prefixes(content, loose.select("uid").distinct(), similarity), "uid")
+            # no table comes before these, so no pair is barred: it may have had its first table among the wide ones
+            finer = finer.withColumn("t", F.lit(0)).withColumn("bucket", F.xxhash64("band", F.lit("prefix"), "token")).select(columns)
             free = keep(free.join(wide, "bucket", "left_anti").select(columns).unionByName(finer), "near-free")
             sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
         if sizes.isEmpty():

@@ -190,10 +190,10 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert [sum(x["length"] for x in r["spans"]) for r in found if r["id"] is None] == [130]
 
 
-def joined(rows):
+def joined(rows, tables=simhash.TABLES):
     """Smallest id by id, of the components of pairs of Jaccard similarity 0.8 that share a sampled fingerprint."""
     sets = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
-    _, keys, _ = simhash.sampled(pa.array([t for _, t in rows]), 5, simhash.TABLES, simhash.SAMPLE)
+    _, keys, _ = simhash.sampled(pa.array([t for _, t in rows]), 5, tables, simhash.SAMPLE)
     root = list(range(len(rows)))
 
     def find(x):
@@ -225,3 +225,15 @@ def test_near_copies_keep_links_between_heads(spark):
     assert len(set(want.values())) < 15
     kept = simhash.distinct_rows(docs(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+
+
+def test_near_copies_in_wide_buckets(spark):
+    """Pairs of similarity 0.8 among texts with one common passage; one table, so no other bucket finds them."""
+    passage, rows = [f"p{i}" for i in range(79)], []
+    for g in range(100):
+        own = [f"o{g}x{i}" for i in range(25)]
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join([*passage, *own[:-10], *(f"e{g}x{i}" for i in range(10))]))]
+    _, keys, _ = simhash.sampled(pa.array([t for _, t in rows]), 5, 1, simhash.SAMPLE)
+    assert np.unique(keys, return_counts=True)[1].max() > simhash.WIDE
+    kept = sorted(r["doc_id"] for r in simhash.distinct_rows(docs(spark, rows), tables=1).collect())
+    assert set(kept) <= set(joined(rows, 1).values())

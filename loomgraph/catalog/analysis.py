@@ -172,7 +172,7 @@ def _fragments(spark, sf):
 
 @query("d04_near_clones")
 def d04(spark, sf):
-    return D.near_clones(_fragments(spark, sf).where("length(code) <= 4000"), 0.7, 32, 8).withColumn("type", D.routed(F.col("similarity")))
+    return D.near_clones(_fragments(spark, sf)).withColumn("type", D.routed(F.col("similarity")))
 
 
 @query("d05_routing", "SELECT p_partkey, CASE WHEN s >= 0.95 THEN 'type1' WHEN s >= 0.7 THEN 'type2' WHEN s >= 0.6 THEN 'type3' WHEN s >= 0.5 THEN 'type4' END AS type FROM (SELECT p_partkey, (p_partkey % 101) / 100.0 AS s FROM part)")

@@ -309,3 +309,25 @@ def test_graph_helpers(spark):
     start = spark.createDataFrame([("b",)], "id string")
     assert sorted((r["node"], r["score"]) for r in graph.both_ways(edges, start).collect()) == [("a", 0.34), ("c", 0.51), ("d", 0.42)]
     assert graph.degrees(edges).where("node = 'a'").first()["incoming"] == 0
+
+
+def test_near_clones_in_wide_buckets(spark):
+    """Sixty copies and sixty pairs around one common passage, in one band: all pairs, not only those with the first."""
+    passage = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    own = lambda g: "".join(f"{chr(97 + g % 26)}{g * 7919 + i * 31}" for i in range(20))
+    rows = [(i, "the same text") for i in range(60)]
+    rows += [(100 + 2 * g + k, passage + own(g) + "?!" * k) for g in range(60) for k in (0, 1)]
+    f = spark.createDataFrame(rows, "id long, code string")
+    sets = {r["id"]: set(r["hs"]) for r in clones.shingle_hashes(f).collect()}
+    want = sorted((a, b) for a, x in sets.items() for b, y in sets.items() if a < b and min(x) == min(y) and len(x & y) >= 0.7 * len(x | y))
+    assert len(want) > 60 * 59 // 2
+    assert sorted((r["a"], r["b"]) for r in clones.near_clones(f, 0.7, 1, 1).collect()) == want
+
+
+def test_near_clones_of_long_texts(spark, tmp_path):
+    """The query takes texts of over 4,000 characters."""
+    from loomgraph.queries import QUERIES
+
+    long = " ".join(f"word{i}" for i in range(1000))
+    spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["a"], r["b"]) for r in QUERIES["d04_near_clones"](spark, str(tmp_path)).collect()] == [(1, 2)]

@@ -2,26 +2,35 @@
 
 A rank file gives the tokens and their ranks; a rank is the token's id.  Texts
 are split by the tokenizer's pattern.  A word that is a token is that token.
-All other words of a piece of a partition become token-position rows (word,
-position, id).  A recursive query joins neighbours with the merge table (every
-way to cut a token into two tokens), contracts each word's leftmost pair of
-minimum rank and goes on until no word has a pair left.  Decoding joins ids
-with the vocabulary and concatenates by an ordered aggregation.
-
-A word of more than ``LONG`` bytes would take a round a merge, so its rounds
-contract every non-overlapping occurrence of the minimum rank from the left, up
-to and including the first whose contraction makes a pair of a lower rank: just
-what the one-by-one order would do.
-
-Each worker process keeps words it has seen lately, in two generations of at
-most ``KNOWN`` words; the result does not depend on it.
+All other words of a run of text become token-position rows (word, position,
+id).  A recursive query joins neighbours with the merge table (every way to cut
+a token into two tokens), contracts each word's leftmost pair of minimum rank
+and goes on until no word has a pair left.  The ids of a text are those of its
+words in order; decoding joins a text's ids with the vocabulary and concatenates
+by an ordered aggregation.
+
+A word of more than ``LONG`` bytes is encoded in overlapping windows, which are
+words of the same query.  Two windows are joined at a token that both have at
+the same place: up to that token's end, neither window merged anything across
+its edges, so all merges of the whole are merges of one of the two windows, in
+the same order, and the joined tokens are those of the whole.  Where two windows
+have no token in common (they are out of step in a repetition), the later one is
+taken anew from a token's start in the earlier one, further and further back.
+
+Memory is bound by bytes, whatever the texts look like: a run of text holds
+``PIECE`` characters, a query ``QUERY_BYTES`` rows, and each worker remembers
+words it has seen lately, in two generations of at most ``KNOWN`` short words;
+the result does not depend on it.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import sys
+from array import array
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -34,8 +43,10 @@ from pyspark.sql import functions as F
 from . import bytesets
 from .shared import table
 
-#: Words of a query, words kept by a worker (two generations), bytes of text taken at a time, bytes of a long word.
-QUERY_WORDS, KNOWN, PIECE, LONG = 20_000, 300_000, 1 << 21, 192
+#: Rows of a query, words kept by a worker (two generations), characters of text taken at a time.
+QUERY_BYTES, KNOWN, PIECE = 1 << 17, 100_000, 1 << 18
+#: Bytes of a word that is encoded in windows, bytes of a window, and from one window to the next; windows in hand at a time.
+LONG, WINDOW, STRIDE, WINDOWS = 192, 64, 40, 1 << 11
 
 #: A pair's rank, its position and the length of its left token in one number; the least is the next merge.
 _BEST = "min(rank * 70368744177664 + pos * 1024 + (npos - pos))"
@@ -49,39 +60,22 @@ _PAIRS = """
 #: The least per word comes from a grouping and a join, which costs less here than a second window.
 _LEAST = "SELECT p.w, p.pos, p.id, g.best FROM p JOIN (SELECT w, " + _BEST + " AS best FROM p GROUP BY w) g USING (w)"
 _MERGED = f"SELECT w, pos, CASE WHEN pos = {_SPOT} THEN {_RANK} ELSE id END AS id FROM s WHERE best IS NOT NULL AND pos <> {_GONE}"
-SHORT_SQL = f"""
+ENCODE_SQL = f"""
 WITH RECURSIVE s(w, pos, id, best) AS (
   (WITH p AS MATERIALIZED ({_PAIRS.format(rows="SELECT w, pos, id FROM given")}) {_LEAST})
   UNION ALL
   (WITH p AS MATERIALIZED ({_PAIRS.format(rows=_MERGED)}) {_LEAST})
 )
-SELECT w, pos, id FROM s WHERE best IS NULL"""
+SELECT w, pos, id FROM s WHERE best IS NULL ORDER BY w, pos"""
 
-#: ``hit``: pairs of the minimum rank; of overlapping ones (runs) every second counts.  ``odd``: its
-#: contraction makes a pair of a lower rank.  Hits up to the first odd one are contracted.
-LONG_SQL = f"""
-WITH RECURSIVE s(w, pos, id, npos, rank, low) AS (
-  SELECT w, pos, id, npos, rank, min(rank) OVER (PARTITION BY w) FROM ({_PAIRS.format(rows="SELECT w, pos, id FROM given")})
-  UNION ALL
-  SELECT w, pos, id, npos, rank, min(rank) OVER (PARTITION BY w) FROM ({_PAIRS.format(rows='''
-    SELECT w, pos, CASE WHEN doing THEN low ELSE id END AS id FROM (
-      SELECT *, coalesce(lag(doing) OVER y, false) AS gone FROM (
-        SELECT *, hit AND pos <= coalesce(min(CASE WHEN odd THEN pos END) OVER (PARTITION BY w), pos) AS doing FROM (
-          SELECT h.*, h.hit AND (coalesce(a.rank < h.low, false) OR coalesce(b.rank < h.low, false)) AS odd FROM (
-            SELECT *, CASE WHEN lag(hit, 2) OVER y THEN low ELSE lag(id) OVER y END AS before, lead(id, 2) OVER y AS after FROM (
-              SELECT *, same AND row_number() OVER (PARTITION BY w, run, same ORDER BY pos) % 2 = 1 AS hit FROM (
-                SELECT *, coalesce(rank = low, false) AS same,
-                       row_number() OVER y - sum(CASE WHEN coalesce(rank = low, false) THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run
-                FROM s WHERE low IS NOT NULL WINDOW y AS (PARTITION BY w ORDER BY pos)))
-            WINDOW y AS (PARTITION BY w ORDER BY pos)) h
-          LEFT JOIN merges a ON a.pair = h.before * 65536::BIGINT + h.low
-          LEFT JOIN merges b ON b.pair = h.low * 65536::BIGINT + h.after))
-      WINDOW y AS (PARTITION BY w ORDER BY pos))
-    WHERE NOT gone''')})
-)
-SELECT w, pos, id FROM s WHERE low IS NULL"""
+#: Every way to cut a token into two tokens.
+MERGES_SQL = """
+CREATE TABLE merges AS
+SELECT l.id * 65536::BIGINT + r.id AS pair, t.id AS rank
+FROM (SELECT id, piece, unnest(range(1, length(piece))) AS cut FROM vocab) t
+JOIN vocab l ON l.piece = substr(t.piece, 1, t.cut) JOIN vocab r ON r.piece = substr(t.piece, t.cut + 1)"""
 
-DECODE_SQL = "SELECT w, string_agg(piece, '' ORDER BY pos) AS text FROM tokens JOIN vocab USING (id) GROUP BY w ORDER BY w"
+DECODE_SQL = "SELECT w, string_agg(piece, '' ORDER BY pos) AS text, count(*) AS n FROM given JOIN vocab USING (id) GROUP BY w"
 
 
 class Codec:
@@ -91,75 +85,123 @@ class Codec:
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks_file.splitlines() if line)}
         if max(map(len, self.ranks)) >= 1024 or max(self.ranks.values()) >= 65536:
             raise ValueError("tokens of 1024 bytes or ids over 65535 do not fit the packed sort key")
-        cuts = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": False})
-        self.fill("merges", pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "rank": pa.array([r for _, r in cuts], pa.int32())}))
+        self.names = [""] * (max(self.ranks.values()) + 1)
+        for r in self.ranks.values():
+            self.names[r] = str(r)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": "", "preserve_insertion_order": False})
         # bytes are code points 256 and up here, so that any byte sequence is a string
-        self.fill("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": ["".join(chr(256 + b) for b in t) for t in self.ranks]}))
-        # a word's ids, joined by spaces; what its ids decode to is kept only where that is another text
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.other: dict[str, bytes] = {}
-
-    def fill(self, name: str, rows: pa.Table) -> None:
-        self.db.register("rows_in", rows)
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows_in")
-        self.db.unregister("rows_in")
-
-    def tokens(self, words: list[bytes]) -> pa.Table:
-        """Rows w, pos, id: the tokens of each word."""
-        size = np.array([len(x) for x in words], np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        first = np.cumsum(size) - size
-        given = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": np.arange(len(data)) - np.repeat(first, size), "id": self.byte_id[data]})
-        self.fill("given", given)
-        return self.db.sql(LONG_SQL if size.max(initial=0) > LONG else SHORT_SQL).to_arrow_table()
-
-    def decoded(self, tokens: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-        """The bytes of each w of rows w, pos, id, by w."""
-        self.fill("tokens", tokens)
-        got = self.db.sql(DECODE_SQL).to_arrow_table()
-        data, offsets = bytesets.raw(got["text"].combine_chunks())
-        two = data.reshape(-1, 2)  # code points 256 to 511 take two bytes each
-        plain = (((two[:, 0] & 3) << 6) | (two[:, 1] & 63)).astype(np.uint8).tobytes()
-        ends = (offsets // 2).tolist()
-        return got["w"].to_numpy(), [plain[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words, decode their ids again, and remember both."""
-        whole, short, rest = [], [], []
-        for w in words:
+        self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": ["".join(chr(256 + b) for b in t) for t in self.ranks]}))
+        self.db.execute("CREATE TABLE vocab AS SELECT * FROM given")
+        self.db.execute(MERGES_SQL)
+        # a short word's ids, two bytes each
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def query(self, sql: str, **columns) -> pa.Table:
+        """A query's result over a table ``given`` of these columns."""
+        self.db.register("given", pa.table(columns))
+        got = self.db.sql(sql).to_arrow_table()
+        self.db.unregister("given")
+        return got
+
+    def tokens(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ids of the tokens of each word, by the recursive query over about ``QUERY_BYTES`` rows at a time."""
+        at = 0
+        while at < len(words):
+            to, size = at, 0
+            while to < len(words) and (to == at or size + len(words[to]) <= QUERY_BYTES):
+                size += len(words[to])
+                to += 1
+            length = np.array([len(x) for x in words[at:to]], np.int64)
+            data = np.frombuffer(b"".join(words[at:to]), np.uint8)
+            pos = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+            got = self.query(ENCODE_SQL, w=np.repeat(np.arange(to - at, dtype=np.int32), length), pos=pos, id=self.byte_id[data])
+            w, pos, ids = (got[c].to_numpy() for c in ("w", "pos", "id"))
+            ends = np.searchsorted(w, np.arange(to - at + 1)).tolist()
+            ids = ids.astype(np.uint16)
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                yield pos[i:j], ids[i:j]
+            at = to
+
+    def long_word(self, word: bytes) -> bytes:
+        """The ids (two bytes each) of a word of any length, by windows."""
+        starts, ids, end = array("q"), array("H"), 0  # the tokens of word[:end]
+        seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # windows outside the usual steps
+        places = range(0, max(1, len(word) - WINDOW + STRIDE), STRIDE)
+        for group in (places[i : i + WINDOWS] for i in range(0, len(places), WINDOWS)):
+            parts = [word[p : p + WINDOW] for p in group]
+            distinct = list(dict.fromkeys(parts))
+            found = dict(zip(distinct, self.tokens(distinct), strict=True))
+            for place, part in zip(group, parts, strict=True):
+                stop, back = place + len(part), WINDOW - STRIDE
+                s, k = found[part]
+                while end:
+                    tail = bisect.bisect_left(starts, place)
+                    ends = dict(zip(starts[tail:], [*starts[tail + 1 :], end], strict=False))
+                    s = (s + place).tolist()
+                    same = next((i for i, (a, b) in enumerate(zip(s, [*s[1:], stop], strict=True)) if ends.get(a) == b), None)
+                    if same is not None or not place:
+                        break
+                    place = starts[max(0, bisect.bisect_right(starts, max(0, end - back)) - 1)]
+                    back *= 2
+                    part = word[place:stop]
+                    if part not in seen:
+                        seen[part] = next(self.tokens([part]))
+                    s, k = seen[part]
+                if end and same is not None:
+                    cut = bisect.bisect_left(starts, s[same])
+                    del starts[cut:], ids[cut:]
+                    s, k = s[same:], k[same:]
+                else:  # the first window, or one that begins with the word
+                    del starts[:], ids[:]
+                starts.extend(map(int, s))
+                ids.frombytes(k.tobytes())
+                end = stop
+        return ids.tobytes()
+
+    def decoded(self, sizes: list[int], ids: np.ndarray) -> list[bytes]:
+        """The bytes of each text from its ids, ``sizes`` of them a text; an unknown id is an error."""
+        out: list[list[bytes]] = [[] for _ in sizes]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        for at in range(0, len(ids), QUERY_BYTES):
+            part = ids[at : at + QUERY_BYTES]
+            got = self.query(DECODE_SQL, w=text[at : at + QUERY_BYTES], pos=np.arange(len(part), dtype=np.int32), id=part.astype(np.int32))
+            if sum(got["n"].to_pylist()) != len(part):
+                raise ValueError("an id that is not in the vocabulary")
+            data, offsets = bytesets.raw(got["text"].combine_chunks())
+            two = data.reshape(-1, 2)  # code points 256 to 511 take two bytes each
+            plain = (((two[:, 0] & 3) << 6) | (two[:, 1] & 63)).astype(np.uint8).tobytes()
+            ends = (offsets // 2).tolist()
+            for w, i, j in zip(got["w"].to_pylist(), ends[:-1], ends[1:], strict=True):
+                out[w].append(plain[i:j])
+        return [b"".join(x) for x in out]
+
+    def encoded(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids (two bytes each) of each text from its words; new short words are remembered."""
+        if len(self.known) > KNOWN:
+            self.older, self.known = self.known, {}
+        known, ranks = self.known, self.ranks
+        new = [w for w in set().union(*texts) if w not in known]
+        fresh, large = [], {}
+        for w in new:
+            held = self.older.get(w)
+            if held is not None:
+                known[w] = held
+                continue
             b = w.encode()
-            r = self.ranks.get(b)
+            r = ranks.get(b)
             if r is not None:
-                whole.append((w, r))
+                known[w] = r.to_bytes(2, sys.byteorder)
+            elif len(b) > LONG:
+                large[w] = self.long_word(b)
             else:
-                (rest if len(b) > LONG else short).append(w)
-        for part in [short[i : i + QUERY_WORDS] for i in range(0, len(short), QUERY_WORDS)] + [[w] for w in rest]:
-            self.store(part, self.tokens([w.encode() for w in part]))
-        for i in range(0, len(whole), QUERY_WORDS):
-            part = whole[i : i + QUERY_WORDS]
-            ids = pa.table({"w": np.arange(len(part), dtype=np.int32), "pos": np.zeros(len(part), np.int64), "id": np.array([r for _, r in part], np.int32)})
-            self.store([w for w, _ in part], ids)
-
-    def store(self, words: list[str], tokens: pa.Table) -> None:
-        w, pos, ids = (tokens[c].to_numpy() for c in ("w", "pos", "id"))
-        order = np.lexsort((pos, w))
-        names = ids[order].astype(str).tolist()
-        ends = np.searchsorted(w[order], np.arange(len(words) + 1))
-        _, plain = self.decoded(tokens)
-        for k, word in enumerate(words):
-            self.known[word] = " ".join(names[ends[k] : ends[k + 1]])
-            if plain[k] != word.encode():
-                self.other[word] = plain[k]
-
-    def joined(self, words: list[str]) -> tuple[str, bytes]:
-        """Ids (joined by spaces) and decoded bytes of a text from its words, which are known."""
-        ids = " ".join(map(self.known.__getitem__, words))
-        if self.other and not self.other.keys().isdisjoint(words):
-            return ids, b"".join(self.other.get(w, w.encode()) for w in words)
-        return ids, "".join(words).encode()
+                fresh.append((w, b))
+        for (w, _), (_, ids) in zip(fresh, self.tokens([b for _, b in fresh]), strict=True):
+            known[w] = ids.tobytes()
+        if large:
+            return [b"".join(large[w] if w in large else known[w] for w in words) for words in texts]
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
 def codec(ranks_file: bytes) -> Codec:
@@ -171,24 +213,32 @@ def codec(ranks_file: bytes) -> Codec:
     return held[key]
 
 
-def coded(texts: list[str], pattern, this: Codec):
-    """Yields the ids (joined by spaces) and the decoded bytes of each text."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
-            size += len(texts[to])
-            to += 1
-        split = [pattern.findall(t) for t in texts[at:to]]
-        need = set().union(*split)
-        if len(this.known) > KNOWN:
-            this.older, this.known = this.known, {}
-        new = need.difference(this.known)
-        again = new.intersection(this.older)
-        this.known.update((w, this.older[w]) for w in again)
-        this.learn(list(new - again))
-        yield from map(this.joined, split)
-        at = to
+def runs(texts: list[str], pattern) -> Iterator[list[tuple[int, list[str]]]]:
+    """The words of the texts (number of the text, words) in runs of about ``PIECE`` characters; a longer text goes over several runs."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if size + len(text) <= PIECE:
+            held.append((i, pattern.findall(text)))
+            size += len(text)
+            continue
+        words = []
+        for found in pattern.finditer(text):
+            words.append(found.group())
+            size += len(words[-1])
+            if size >= PIECE:
+                held.append((i, words))
+                yield held
+                held, words, size = [], [], 0
+        held.append((i, words))
+    if held:
+        yield held
+
+
+def coded(texts: list[str], pattern, this: Codec) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of the text and ids, in order, run by run: a long text comes in several parts."""
+    for run in runs(texts, pattern):
+        for (i, _), ids in zip(run, this.encoded([words for _, words in run]), strict=True):
+            yield i, np.frombuffer(ids, np.uint16)
 
 
 def _ranks(spark: SparkSession, path: str | None):
@@ -197,73 +247,75 @@ def _ranks(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _run(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, row, schema: str, forget: bool = False) -> DataFrame:
+def _mapped(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, rows, schema: pa.Schema, ddl: str) -> DataFrame:
+    """id and what ``rows`` (codec, pattern, texts of a batch) gives for each row of ``df``."""
     sent = _ranks(df.sparkSession, ranks)
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         this, cut = codec(sent.value), regex.compile(pattern)
         for batch in batches:
-            cols = list(zip(*(row(*x) for x in coded(batch.column(1).to_pylist(), cut, this)), strict=True))
-            full = pa.schema([batch.schema.field(0).with_name("id"), *fields])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)]], schema=full)
-        if forget:
-            this.db.close()
-            del this
-            sys.__dict__.pop("_loomgraph_bpe", None)
+            cols = list(zip(*rows(this, cut, batch.column(1).to_pylist()), strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], names=["id", *schema.names])
         bytesets.trim()
 
-    kinds = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, {schema}")
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, {ddl}")
 
 
 def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """id and ``ids`` (array of int) of each row, as the tiktoken library gives without special tokens.
 
-    Null and empty texts have no ids.  Rows come back as often as they came,
-    other columns do not matter, an empty table gives an empty table.
+    Null and empty texts have no ids.  Texts and words may be of any length.
+    Rows come back as often as they came, other columns do not matter, an empty
+    table gives an empty table.
     """
-    return _run(df, id_col, text_col, ranks, pattern, lambda ids, plain: ([int(i) for i in ids.split()],), "ids array<int>")
+
+    def rows(this, cut, texts):
+        out = [[] for _ in texts]
+        for i, ids in coded(texts, cut, this):
+            out[i].append(ids)
+        return [(np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32),) for x in out]
+
+    return _mapped(df, id_col, text_col, ranks, pattern, rows, pa.schema([("ids", pa.list_(pa.int32()))]), "ids array<int>")
 
 
 def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
     """id and ``bytes`` of each row of token ids; null or no ids give no bytes, an unknown id is an error."""
     sent = _ranks(df.sparkSession, ranks)
-    picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
         this = codec(sent.value)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                rows = [x or [] for x in part.column(1).to_pylist()]
-                size = [len(x) for x in rows]
-                ids = np.array([i for x in rows for i in x], np.int32)
-                tokens = pa.table({"w": np.repeat(np.arange(len(rows), dtype=np.int32), size), "pos": np.arange(len(ids)), "id": ids})
-                out = [b""] * len(rows)
-                for w, text in zip(*this.decoded(tokens), strict=True):
-                    out[w] = text
-                known = this.db.sql("SELECT count(*) FROM tokens JOIN vocab USING (id)").fetchall()[0][0]
-                if known != len(ids):
-                    raise ValueError("an id that is not in the vocabulary")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            out = this.decoded(np.diff(ends).tolist(), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, bytes binary")
 
 
-def _digest(ids: str, plain: bytes) -> tuple[int, str, str]:
-    return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
+def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and their ids decoded again.
 
-
-def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, forget: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, word by word.
-
-    A text's ids are those of its words in order, so both the ids and their
-    decoded bytes are put together from the words' results.  ``forget``: workers
-    drop their words after each task, for jobs whose other stages need the memory.
+    Defined like ``encode``.  The digests are built up run by run, so that the
+    ids of a long text are never held as a whole.
     """
-    return _run(df, id_col, text_col, ranks, pattern, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
+
+    def rows(this, cut, texts):
+        counts, named, plain = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+        for run in runs(texts, cut):
+            parts = [np.frombuffer(x, np.uint16) for x in this.encoded([words for _, words in run])]
+            for (i, _), ids, text in zip(run, parts, this.decoded([len(x) for x in parts], np.concatenate(parts)), strict=True):
+                if len(ids):
+                    named[i].update(((" " if counts[i] else "") + " ".join(map(this.names.__getitem__, ids.tolist()))).encode())
+                    counts[i] += len(ids)
+                    plain[i].update(text)
+        return [(n, a.hexdigest(), b.hexdigest()) for n, a, b in zip(counts, named, plain, strict=True)]
+
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _mapped(df, id_col, text_col, ranks, pattern, rows, schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,49 @@ class Words:
         return self.row[i], self.start[i], self.end[i + size[i] - 1]
 
 
+def spans(data: np.ndarray, k: int, mapping: np.ndarray = _LOWER, limit: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Cuts of one long text, each of about ``limit`` bytes and of whole words, that overlap in ``k`` - 1 words.
+
+    Every run of ``k`` words lies in exactly one of them.  A cut is longer where fewer than ``k`` words fit.
+    """
+    n, at = len(data), 0
+    solid = np.flatnonzero(mapping[data] != 32)
+    last = int(solid[-1]) + 1 if len(solid) else 0
+    del solid
+    while True:
+        size = limit
+        while True:
+            to = at + size
+            if to >= last:
+                yield at, n
+                return
+            part = mapping[data[at:to]] != 32
+            begins = np.flatnonzero(part & ~np.concatenate([[False], part[:-1]]))
+            ends = np.flatnonzero(~part & np.concatenate([[False], part[:-1]]))
+            if len(ends) >= k:  # words that are whole
+                break
+            size *= 2
+        yield at, at + int(ends[-1])
+        at += int(begins[len(ends) - k + 1]) if k > 1 else int(ends[-1])
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """a, b, row (from 0) and hash of each shingle of rows a to b, by row; the arrays of a long text are made cut by cut."""
+    for a, b in pieces(offsets):
+        part, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if b == a + 1 and len(part) > PIECE:
+            found = []
+            for i, j in spans(part, k):
+                got = Words(part[i:j], np.array([0, j - i]))
+                found.append(xxh64(got.text, *got.shingles(k)[1:]))
+            h = np.concatenate(found)
+            yield a, b, np.zeros(len(h), np.int64), h
+        else:
+            got = Words(part, cut)
+            row, start, end = got.shingles(k)
+            yield a, b, row, xxh64(got.text, start, end)
+
+
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 

@@ -17,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_path, squeezed, table
+from .shared import keep, located, shared_path, squeezed, table, without
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Up to so many digests with hits (32 bytes each) are broadcast, so that only texts with hits are
@@ -33,16 +32,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns id, text and locator (file and row); rows that are in no file are written first."""
-    one = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
-    where = F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("locator")
-    try:
-        return df.select(*one, where)
-    except AnalysisException:
-        return keep(df.select(*one), "dedup-content").select("id", "text", where)
-
-
 def best_row() -> Column:
     """Smallest is best: most code points, then a known id, then the smallest id, then the first locator."""
     return F.min(F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("unknown"), F.col("id"), F.col("locator"))).alias("best")
@@ -88,7 +77,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stat
     too, and keep_id may be one of theirs.
     """
     spark = df.sparkSession
-    rows = located(df, id_col, text_col)
+    rows = located(df, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = rows.select("id", "locator", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), squeezed(F.col("text")).alias("bytes"))
     keyed = keep(texts.select(digest(F.col("bytes")).alias("digest"), "n_points", "id", "locator"), "dedup-keys")
     known = keep(retained(keyed, state or shared_path(spark, "dedup-state")), "dedup-known")
@@ -111,14 +100,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stat
 
 def distinct_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, columns as they are; rows alike in id and text stay once."""
-    found = dedup(df, id_col=id_col, text_col=text_col)
-    gone = found.where("NOT kept").select(F.col("locator").alias("_gone"))
-    try:
-        whole = df.withColumn("_locator", F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")))
-        return whole.join(gone, F.col("_locator") == F.col("_gone"), "left_anti").drop("_locator")
-    except AnalysisException:
-        written = keep(df, "dedup-rows")
-        return distinct_rows(written, id_col=id_col, text_col=text_col)
+    return without(df, lambda rows: dedup(rows, id_col=id_col, text_col=text_col).where("NOT kept").select("locator"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,16 @@ costs a re-read, never a recomputation of everything before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..storage import shared_path
 
-__all__ = ["SPACES", "keep", "shared_path", "small_batches", "squeezed", "table"]
+__all__ = ["SPACES", "keep", "located", "locator", "shared_path", "small_batches", "squeezed", "table", "without"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,3 +50,32 @@ def squeezed(text):
     for c in SPACES:
         out = F.replace(out, F.lit(c), F.lit(""))
     return out
+
+
+def locator(df: DataFrame) -> Column:
+    """File and row of each row of ``df``, which was read from files."""
+    place = df.metadataColumn("_metadata")
+    return F.concat_ws("#", place["file_path"], F.lpad(place["row_index"].cast("string"), 12, "0")).alias("locator")
+
+
+def located(df: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and the locator of each row; rows that are in no file are written first."""
+    try:
+        return df.select(*columns, locator(df))
+    except AnalysisException:
+        written = keep(df.select(*columns), "located")
+        return written.select("*", locator(written))
+
+
+def without(df: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df``, columns as they are, without the rows whose locators ``gone`` gives (one column) for it."""
+    name = "locator"
+    while name in df.columns or f"{name}_gone" in df.columns:
+        name = f"_{name}"
+    try:
+        whole = df.select("*", locator(df).alias(name))
+    except AnalysisException:
+        df = keep(df, "located")
+        whole = df.select("*", locator(df).alias(name))
+    left = gone(df).toDF(f"{name}_gone")
+    return whole.join(left, F.col(f"`{name}`") == F.col(f"`{name}_gone`"), "left_anti").drop(name)

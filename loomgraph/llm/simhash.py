@@ -34,14 +34,12 @@ from pyspark.sql import functions as F
 
 from . import bytesets
 from .groups import components
-from .shared import keep, table
+from .shared import keep, located, table, without
 
 #: Segments (of two bits) in each of the six coordinate blocks.
 BLOCKS = (6, 6, 5, 5, 5, 5)
 #: Largest number of fingerprints of a cell that are compared pair by pair.
 DENSE = 48
-#: Words of text that are hashed at a time; a longer text is taken in overlapping parts.
-PART = 1 << 22
 
 
 def majority(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -59,10 +57,8 @@ def majority(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 def prints(column: pa.Array, words: int) -> np.ndarray:
     data, offsets = bytesets.raw(column)
     out = np.zeros(len(offsets) - 1, np.uint64)
-    for a, b in bytesets.pieces(offsets):
-        got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        row, start, end = got.shingles(words)
-        out[a:b] = majority(bytesets.xxh64(got.text, start, end), row, b - a)
+    for a, b, row, h in bytesets.shingle_hashes(data, offsets, words):
+        out[a:b] = majority(h, row, b - a)
     return out
 
 
@@ -147,10 +143,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Sampled fingerprints a text, and shingles in each of them.
 TABLES, SAMPLE = 12, 4
-#: Buckets of more members are split by rare shingles and compared by rounds of heads.
-WIDE = 64
-#: Heads of a wide bucket in the second round, doubled in each later one; the first round takes the large groups by one head each.
-HEADS = 16
+#: Heads that a shared rare shingle has in the first round; four times as many in each later one.
+HEADS = 32
+#: Words of 64 bits in the parity bits of a set of shingles.
+PARITY = 8
 
 
 def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,10 +159,7 @@ def sampled(column: pa.Array, words: int, tables: int, sample: int) -> tuple[np.
     """
     data, offsets = bytesets.raw(column)
     whole, parts, sizes = np.zeros(len(column), np.uint64), np.zeros((len(column), tables), np.uint64), np.zeros(len(column), np.int64)
-    for a, b in bytesets.pieces(offsets):
-        got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        row, start, end = got.shingles(words)
-        h = bytesets.xxh64(got.text, start, end)
+    for a, b, row, h in bytesets.shingle_hashes(data, offsets, words):
         whole[a:b] = majority(h, row, b - a)
         cell = row * tables + ((h >> np.uint64(40)) % np.uint64(tables)).astype(np.int64)
         order = np.lexsort((h, cell))
@@ -186,10 +179,7 @@ def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     """The distinct shingle hashes of each text."""
     data, offsets = bytesets.raw(column)
     values, sizes = [], np.zeros(len(column), np.int64)
-    for a, b in bytesets.pieces(offsets):
-        got = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        row, start, end = got.shingles(words)
-        h = bytesets.xxh64(got.text, start, end)
+    for a, b, row, h in bytesets.shingle_hashes(data, offsets, words):
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         new = np.ones(len(h), bool)
@@ -200,129 +190,173 @@ def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def prefixes(content: DataFrame, uids: DataFrame, similarity: float) -> DataFrame:
-    """uid, token: the rarest shingles of each text (of ``content``: uid, shingles) of ``uids``, shared ones only.
+def parities(sets: pa.Array) -> list[np.ndarray]:
+    """``PARITY`` columns of 64 bits: is the number of a set's hashes that fall on a bit odd?
 
-    In one order of all shingles, two sets of Jaccard similarity s share one of
-    the first n - ceil(s * n) + 1 of each (n its size).  Empty sets share token 0.
+    The bits in which two sets differ are at most the hashes that only one of them has.
     """
-    each = keep(content.join(uids, "uid", "left_semi").select("uid", F.explode_outer("shingles").alias("token")).select("uid", F.coalesce("token", F.lit(0)).alias("token")), "near-tokens")
+    sizes = np.diff(sets.offsets.to_numpy())
+    h, out = sets.values.to_numpy().view(np.uint64), np.zeros((len(sizes), PARITY), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(sizes), 256):
+        a, b = np.searchsorted(row, (at, at + 256))
+        place = (row[a:b] - at) * (64 * PARITY) + ((h[a:b] >> np.uint64(20)) % np.uint64(64 * PARITY)).astype(np.int64)
+        odd = np.bincount(place, minlength=min(256, len(sizes) - at) * 64 * PARITY) & 1
+        out[at : at + 256] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
+    return list(out.T)
+
+
+def possible(similarity: float):
+    """A condition that all pairs of that similarity meet, from sizes and parity bits (columns n, s0.. and hn, h0..)."""
+    differ = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"h{i}"))) for i in range(PARITY))
+    sized = F.least("n", "hn") >= F.lit(similarity) * F.greatest("n", "hn") - 1e-6
+    return sized & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n") + F.col("hn")) + 1e-6)
+
+
+def prefixes(content: DataFrame, similarity: float) -> DataFrame:
+    """uid, token, first: the rarest shingles of each text (of ``content``: uid, n, shingles), shared ones only.
+
+    All shingles have one order, rare ones first.  Of two sets of Jaccard
+    similarity s, the larger has one of its first n - ceil(s * n) + 1 shingles
+    among the first n - ceil(2 * s / (1 + s) * n) + 1 of the smaller (n is each
+    one's own size); ``first`` marks the latter.  Empty sets share token 0.
+    """
+    each = keep(content.select("uid", "n", F.explode_outer("shingles").alias("token")).select("uid", "n", F.coalesce("token", F.lit(0)).alias("token")), "near-tokens")
     often = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token")))
-    ranked = each.join(often, "token", "left").groupBy("uid").agg(order.alias("order"))
-    length = F.size("order") - F.ceil(similarity * F.size("order") - 1e-6).cast("int") + 1
-    return ranked.select("uid", F.explode(F.slice("order", F.lit(1), F.least(length, F.size("order")))).alias("o")).where("o.c > 1").select("uid", "o.token")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token")))  # shingles of one text
+    ranked = each.join(often, "token", "left").groupBy("uid", "n").agg(order.alias("order"))
+    reach = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-6) + 1).cast("int")
+    near = F.slice("order", F.lit(1), F.least(reach(similarity), F.size("order")))
+    found = ranked.select("uid", "n", F.posexplode(near).alias("at", "o"), reach(2 * similarity / (1 + similarity)).alias("reach"))
+    return found.where("o.c > 1").select("uid", "o.token", (F.col("at") < F.col("reach")).alias("first"))
+
+
+def verified(pairs: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (uid, head) whose shingle sets are as similar as that; a written table."""
+    a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
+    both = keep(pairs.distinct(), "near-pairs").join(b, "uid").join(a, "head")
+    common = F.size(F.array_intersect("mine", "shingles"))
+    alike = F.when(F.size("mine") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("mine") + F.size("shingles") - common))
+    return keep(both.where(alike >= similarity).select("uid", "head"), "near-found")
+
+
+def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> DataFrame | None:
+    """uid, root of all texts that are in a group; ``rows``: uid, fp, keys, n; ``content_of``: shingle sets by uids."""
+    joined = components(links(rows.select("fp").distinct()), "near-components")
+    # sizes of sets as alike as ``similarity`` are in one band or in neighbouring bands
+    band = F.floor(F.log(F.col("n") + 1.0) / F.lit(-np.log(similarity))).cast("int") if 0 < similarity < 1 else F.lit(0)
+    # ``next``: a row in the bucket of the band above its own; two such rows meet in their own band's bucket
+    sized = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("next"))
+    whole = sized.join(joined, sized["fp"] == joined["node"], "left").select("uid", "n", "next", F.lit(tables).alias("t"), F.xxhash64("band", F.lit(tables), F.coalesce("root", "fp")).alias("bucket"))
+    part = sized.select("uid", "n", "next", "band", F.posexplode("keys").alias("t", "key")).where("key != 0").select("uid", "n", "next", "t", F.xxhash64("band", "t", "key").alias("bucket"))
+    member = part.unionByName(whole)
+    shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    member = keep(member.join(shared, "bucket"), "near-buckets")
+    content = content_of(member.select("uid").distinct())
+    bits = [f"s{i}" for i in range(PARITY)]
+    signs = content.select("uid", "n", *bits)
+    other = [F.col(f"best.s{i}").alias(f"h{i}") for i in range(PARITY)]
+
+    # one head a bucket: the member with the most bucket mates, the same one in all buckets of a large group
+    ties = member.groupBy("uid").agg(F.sum("m").alias("ties"))
+    brief = rows.select("uid", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
+    placed = member.drop("n").join(ties, "uid").join(brief, "uid").join(signs, "uid").select("uid", "n", "next", "t", "bucket", "brief", *bits, F.struct((-F.col("ties")).alias("less"), "uid").alias("place"))
+    heads = placed.groupBy("bucket").agg(F.min(F.struct("place", "n", "next", "brief", *bits)).alias("best"))
+    heads = keep(heads.select("bucket", F.col("best.place.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.next").alias("hnext"), F.col("best.brief").alias("hbrief"), *other), "near-heads")
+    close = possible(similarity) & (F.col("next") + F.col("hnext") < 2)
+    # most pairs meet in several tables; one that is left out here by a chance likeness stays in an open bucket
+    seen = F.exists(F.zip_with(F.slice("brief", 1, F.col("t")), F.slice("hbrief", 1, F.col("t")), lambda x, y: (x == y) & (x != 0)), lambda z: z)
+    linked = verified(placed.join(heads, "bucket").where((F.col("uid") != F.col("head")) & close & ~seen).select("uid", "head"), content, similarity)
+
+    def groups() -> DataFrame:
+        return components(linked.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups").select(F.col("node").alias("uid"), "root")
+
+    # all texts of buckets that hold more than one group so far meet again by their rarest shingles
+    named = groups()
+    labelled = member.select("uid", "bucket").join(named, "uid", "left").withColumn("label", F.coalesce("root", "uid"))
+    open_ = F.min("label") < F.max("label")
+    mixed = labelled.groupBy("bucket").agg(open_.alias("open")).where("open").select("bucket")
+    wanted = labelled.join(mixed, "bucket", "left_semi").select("uid").distinct()
+    free = keep(prefixes(content.join(wanted, "uid", "left_semi"), similarity), "near-prefixes")
+    turn = 0
+    while True:
+        now = free.join(named, "uid", "left").withColumn("label", F.coalesce("root", "uid"))
+        # a shingle is done when all its texts are in one group or none is left to be a head
+        left = now.groupBy("token").agg(F.count_if("first").alias("heads"), open_.alias("open")).where("open AND heads > 0").select("token", "heads")
+        now = keep(now.join(left, "token").select("token", "uid", "first", "label", "heads"), "near-open")
+        if now.isEmpty():
+            return None if linked.isEmpty() else named
+        full = now.join(signs, "uid")
+        many = HEADS << min(2 * turn, 24)
+        salt = F.when(F.col("heads") <= many, F.col("uid")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(many)))
+        heads = full.where("first").groupBy("token", salt.alias("salt")).agg(F.min(F.struct("uid", "n", "label", *bits)).alias("best"))
+        heads = keep(heads.select("token", F.col("best.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.label").alias("hlabel"), *other), "near-heads")
+        larger = (F.col("hn") < F.col("n")) | ((F.col("hn") == F.col("n")) & (F.col("head") < F.col("uid")))
+        pairs = full.join(heads, "token").where(larger & (F.col("label") != F.col("hlabel")) & possible(similarity)).select("uid", "head")
+        found = verified(pairs, content, similarity)
+        linked = linked.unionByName(found)
+        named = groups()
+        # a head has been compared with all larger texts; as a larger one it stays
+        was = heads.select("token", F.col("head").alias("uid"), F.lit(True).alias("was"))
+        free = keep(now.join(was, ["token", "uid"], "left").select("token", "uid", (F.col("first") & F.col("was").isNull()).alias("first")), "near-free")
+        turn += 1
 
 
 def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
-    """id, mark (hash of the text) and group_id of the rows that are in a group of near copies.
+    """id, locator, group_id and kept of the rows that are in a group of near copies.
+
+    A link joins two texts whose sets of shingles have a Jaccard similarity of at
+    least ``similarity``; a group is a connected component of links.
 
     Candidates share a bucket: a sampled fingerprint, or a component of whole
-    fingerprints linked over the grid, among texts of similar size.  In the first
-    round the best connected member of each bucket is its head and is compared
-    with all others, shingle set by shingle set; pairs with a Jaccard similarity
-    of at least ``similarity`` are links, all of which are kept, and a group is a
-    connected component.  A bucket is done when all that is left of it is in one
-    component; until then its narrow ones are compared pair by pair (but not
-    within a component) and wide ones by rounds of heads, 16 and then twice as
-    many in each round.  Buckets that are still wide after the first round (one
-    common passage) are split by the rarest shingles of their members, at least
-    one of which any two texts of that similarity share: no pair is lost.
+    fingerprints linked over the grid, among texts of similar size.  First the
+    best connected member of each bucket is compared with all others, shingle
+    set by shingle set, which takes the large groups by a star.  The texts of
+    buckets that still hold several groups then meet by their rarest shingles,
+    so chosen that any two texts of that similarity share one; again by heads:
+    the smaller texts of a shingle (32 in the first round, then four times as many
+    in each) are compared with its larger ones that are not in their group, until
+    all texts of it are in one group or all were heads.  Sizes and parity bits of
+    the sets rule out most pairs that are no links before any is made.  No link
+    between two texts that share a bucket is lost, however wide it is.
 
     Recall: two texts of similarity 0.8 share a bucket with a chance of 0.998.
     Null, empty and wordless texts are alike (equal empty sets) and form one
-    group.  group_id is the smallest id of the group.  Rows alike in id and
-    text share their entry.  Other columns do not matter.
+    group.  group_id is the smallest id of the group, null if all are null; one
+    row of the group is kept: that of the smallest id, of several of them (or of
+    null ids only) the first by locator.  Texts may be of any length.  Other
+    columns do not matter.
     """
-    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    one = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    one = located(df, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ids = one.schema["id"].dataType.simpleString()
 
     def sketch(batches):
         for batch in batches:
             whole, parts, sizes = sampled(batch.column(1), words, tables, sample)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables, dtype=np.int32)), pa.array(parts.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), flat, pa.array(sizes.astype(np.int32))], names=["id", "mark", "fp", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), flat, pa.array(sizes.astype(np.int32))], names=["id", "locator", "fp", "keys", "n"])
         bytesets.trim()
 
-    rows = one.withColumn("mark", mark).mapInArrow(sketch, f"id {ids}, mark long, fp long, keys array<long>, n int")
-    rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
-    joined = components(links(rows.select("fp").distinct()), "near-components")
-    # sizes of sets as alike as ``similarity`` are in one band or in neighbouring bands
-    band = F.floor(F.log(F.col("n") + 1.0) / F.lit(-np.log(similarity))).cast("int") if 0 < similarity < 1 else F.lit(0)
-    # ``next``: a row in the bucket of the band above its own; two such rows meet in their own band's bucket
-    sized = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("next"))
-    whole = sized.join(joined, sized["fp"] == joined["node"], "left").select("uid", "n", "next", "band", F.lit(tables).alias("t"), F.xxhash64("band", F.lit(tables), F.coalesce("root", "fp")).alias("bucket"))
-    part = sized.select("uid", "n", "next", "band", F.posexplode("keys").alias("t", "key")).where("key != 0").select("uid", "n", "next", "band", "t", F.xxhash64("band", "t", "key").alias("bucket"))
-    member = part.unionByName(whole)
-    shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    member = keep(member.join(shared, "bucket"), "near-buckets")
-
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), shingle_sets(batch.column(1), words)], names=["uid", "shingles"])
+            found = shingle_sets(batch.column(2), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, parities(found)), found], names=["uid", "n", *[f"s{i}" for i in range(PARITY)], "shingles"])
+        bytesets.trim()
 
-    wanted = member.select("uid").distinct().join(rows.select("uid", F.col("id").alias("wid"), F.col("mark").alias("wmark")), "uid")
-    texts = one.withColumn("mark", mark).join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))).select("uid", "text")
-    content = keep(texts.mapInArrow(sets, "uid long, shingles array<long>").dropDuplicates(["uid"]), "near-sets")
-    ties = member.groupBy("uid").agg(F.sum("m").alias("ties"))
-    brief = rows.select("uid", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    columns = ["uid", "n", "next", "band", "t", "brief", "bucket", "place", "label"]
-    free = member.join(ties, "uid").join(brief, "uid").select("uid", "n", "next", "band", "t", "brief", "bucket", F.struct((-F.col("ties")).alias("less"), F.col("uid").alias("uid")).alias("place"), F.col("uid").alias("label"))
-    linked, turn = None, 0
-    while True:
-        # a bucket whose members all have one label is done: what is left of it is connected
-        open_ = F.min("label") < F.max("label")
-        sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
-        if turn == 1:  # large groups are taken; what still fills wide buckets has one common passage
-            wide = sizes.where(F.col("m") > WIDE).select("bucket")
-            loose = keep(free.join(wide, "bucket").dropDuplicates(["uid", "band"]), "near-wide")
-            finer = loose.join(prefixes(content, loose.select("uid").distinct(), similarity), "uid")
-            # no table comes before these, so no pair is barred: it may have had its first table among the wide ones
-            finer = finer.withColumn("t", F.lit(0)).withColumn("bucket", F.xxhash64("band", F.lit("prefix"), "token")).select(columns)
-            free = keep(free.join(wide, "bucket", "left_anti").select(columns).unionByName(finer), "near-free")
-            sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("m"), open_.alias("open")).where("open").select("bucket", "m"), "near-open")
-        if sizes.isEmpty():
-            break
-        free = free.join(sizes, "bucket")
-        # the first round takes the large groups by one head a bucket; later, twice the heads in every round
-        many = free.where(F.col("m") > (WIDE if turn else 0))
-        salt = F.pmod(F.xxhash64("uid"), F.lit(HEADS << min(turn - 1, 24) if turn else 1))
-        heads = many.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("place", "n", "next", "brief", "label")).alias("best"))
-        heads = keep(heads.select("bucket", F.col("best.place.uid").alias("head"), F.col("best.n").alias("hn"), F.col("best.next").alias("hnext"), F.col("best.brief").alias("hbrief"), F.col("best.label").alias("hlabel")), "near-heads")
-        apart = (F.col("uid") != F.col("head")) & (F.col("label") != F.col("hlabel"))
-        close = (F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("next") + F.col("hnext") < 2)
-        # a pair is made in the first table that it shares, where it is or will be compared
-        seen = F.exists(F.zip_with(F.slice("brief", 1, F.col("t")), F.slice("hbrief", 1, F.col("t")), lambda x, y: (x == y) & (x != 0)), lambda z: z)
-        pairs = many.join(heads, "bucket").where(apart & close & ~seen).select("uid", "head")
-        if turn:  # what is left of narrow buckets is compared pair by pair
-            few = free.where(F.col("m") <= WIDE)
-            other = few.select("bucket", F.col("uid").alias("head"), F.col("n").alias("hn"), F.col("next").alias("hnext"), F.col("brief").alias("hbrief"), F.col("label").alias("hlabel"))
-            pairs = pairs.unionByName(few.join(other, "bucket").where((F.col("uid") > F.col("head")) & apart & close & ~seen).select("uid", "head"))
-        pairs = keep(pairs.distinct(), "near-pairs")
-        a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
-        both = pairs.join(b, "uid").join(a, "head")
-        common = F.size(F.array_intersect("mine", "shingles"))
-        alike = F.when(F.size("mine") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("mine") + F.size("shingles") - common))
-        found = keep(both.where(alike >= similarity).select("uid", "head"), "near-found")
-        linked = found if linked is None else linked.unionByName(found)
-        # heads leave the bucket that they were compared in; members stay until their bucket is done
-        left = many.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti")
-        groups = components(linked.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups")
-        named = groups.select(F.col("node").alias("uid"), "root")
-        free = keep(left.drop("label").join(named, "uid", "left").withColumn("label", F.coalesce("root", "uid")).select(columns), "near-free")
-        turn += 1
-    spark = df.sparkSession
-    if linked is None or linked.isEmpty():
-        return spark.createDataFrame([], f"id {ids}, mark long, group_id {ids}")
-    named = groups.join(rows.select(F.col("uid").alias("node"), "id", "mark"), "node")
-    least = named.groupBy("root").agg(F.min("id").alias("group_id"))
-    return keep(named.join(least, "root").select("id", "mark", "group_id"), "near-result")
+    def content_of(uids: DataFrame) -> DataFrame:
+        wanted = uids.join(rows.select("uid", "n", "locator"), "uid")
+        return keep(one.join(wanted, "locator").select("uid", "n", "text").mapInArrow(sets, f"uid long, n int, {', '.join(f's{i} long' for i in range(PARITY))}, shingles array<long>"), "near-sets")
+
+    rows = one.mapInArrow(sketch, f"id {ids}, locator string, fp long, keys array<long>, n int")
+    rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
+    groups = near_links(rows, content_of, tables, similarity)
+    if groups is None:
+        return df.sparkSession.createDataFrame([], f"id {ids}, locator string, group_id {ids}, kept boolean")
+    named = groups.join(rows.select("uid", "id", "locator"), "uid")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "locator")).alias("best"))
+    return keep(named.join(best, "root").select("id", "locator", F.col("best.id").alias("group_id"), (F.col("locator") == F.col("best.locator")).alias("kept")), "near-result")
 
 
 def distinct_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of each group the row with the smallest id stays, columns as they are."""
-    found = near_copies(df, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col("id").isNull() | (F.col("id") != F.col("group_id"))).select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
-    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark")), "left_anti")
+    """The rows of ``df`` without near copies: of each group the row of the smallest id stays, columns as they are."""
+    return without(df, lambda rows: near_copies(rows, id_col=id_col, text_col=text_col, **options).where("NOT kept").select("locator"))

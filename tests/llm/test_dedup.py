@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup, simhash, suffix_dedup
+from loomgraph.llm import bytesets, exact_dedup, simhash, suffix_dedup
 from loomgraph.llm.groups import components
+from loomgraph.llm.shared import table
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 CLASH = "doc_id long, text string, id string, digest int, best string, locator long, uid string, fp string, mark int, bytes int"
@@ -142,6 +143,78 @@ def test_near_copies_match_brute_force(spark):
     assert simhash.distinct_rows(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_without_ids_and_with_clashing_names(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:-1], f"x{i}"]) for i in range(3)]
+    odd = "doc_id long, text string, locator string, locator_gone int, _metadata string, _locator int"
+    table = lambda rows: spark.createDataFrame([(i, t, "a", 1, "b", 2) for i, t in rows], odd)
+    for keep_rows in (simhash.distinct_rows, exact_dedup.distinct_rows):
+        out = keep_rows(table([(None, t) for t in texts[:1] * 3] + [(4, "other text")]))
+        assert out.columns == table([(1, "")]).columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 4]
+    assert [r["doc_id"] for r in simhash.distinct_rows(table([(None, t) for t in texts])).collect()] == [None]
+    assert [r["doc_id"] for r in simhash.distinct_rows(table([(None, texts[0]), (9, texts[1]), (9, texts[1]), (12, texts[2])])).collect()] == [9]
+
+
+def near_pairs(pairs, passage, seed):
+    """Texts 2i and 2i + 1 of a Jaccard similarity from 0.8 to 0.85; ``passage``: words that all texts share."""
+    rng, rows = random.Random(seed), []
+    common = [f"p{i}" for i in range(passage)]
+    for g in range(pairs):
+        while True:
+            own = [f"o{g}x{i}" for i in range(rng.randint(60, 200))]
+            start, change = rng.randrange(len(own)), (len(own) + passage) // 8
+            other = own[:start] + [f"e{g}x{i}" for i in range(rng.randint(0, change))] + own[start + rng.randint(0, change) :]
+            a, b = common + own, common + other
+            x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                break
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    return rows
+
+
+@pytest.mark.parametrize("passage", [0, 150])
+def test_recall_of_near_copies(spark, passage):
+    """A thousand pairs just above the limit, apart and in one common passage."""
+    pairs = 1000
+    found = simhash.near_copies(spark.createDataFrame(near_pairs(pairs, passage, 11), "doc_id long, text string")).collect()
+    group = {r["id"]: r["group_id"] for r in found}
+    hits = sum(group.get(2 * g, -1) == group.get(2 * g + 1, -2) for g in range(pairs))
+    print(f"recall at a common passage of {passage} words: {hits / pairs}")
+    assert hits >= 0.99 * pairs
+
+
+def test_cuts_of_long_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", " ", "one", "w" * 90, " ".join("abcdef"[: rng.randint(1, 6)] for _ in range(200)), "  x " * 40 + "y" * 70 + " z" * 3 + "   ", None, "q w e r t " * 9, "v" * 50 + " " * 90]
+    column = pa.array(texts)
+    data, offsets = bytesets.raw(column)
+    for k in (1, 3, 5):
+        whole = [[] for _ in texts]
+        for a, _, row, h in bytesets.shingle_hashes(data, offsets, k):
+            for r, x in zip(row.tolist(), h.tolist(), strict=True):
+                whole[a + r].append(x)
+        for limit in (8, 20, 64):
+            monkeypatch.setattr(bytesets, "PIECE", limit)
+            monkeypatch.setattr(bytesets.spans, "__defaults__", (bytesets._LOWER, limit))
+            monkeypatch.setattr(bytesets.pieces, "__defaults__", (limit,))
+            cut = [[] for _ in texts]
+            for a, _, row, h in bytesets.shingle_hashes(data, offsets, k):
+                for r, x in zip(row.tolist(), h.tolist(), strict=True):
+                    cut[a + r].append(x)
+            assert cut == whole
+        monkeypatch.undo()
+    assert simhash.prints(column, 3).tolist() == [fingerprint(t, 3) for t in texts]
+
+
+def test_op3_query(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    ids = sorted(texts)
+    prints = [fingerprint(texts[i], 3) for i in ids]
+    lowest = roots(prints, lambda a, b: apart(a, b) <= 2)
+    expected = [(i, f"{p:016x}", ids[r]) for i, p, r in zip(ids, prints, lowest, strict=True)]
+    assert sorted(tuple(r) for r in simhash.op3_simhash(spark, sf).select("doc_id", "fingerprint", "component_id").collect()) == expected
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(2)
     for _ in range(200):
@@ -227,13 +300,14 @@ def test_near_copies_keep_links_between_heads(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
-def test_near_copies_in_wide_buckets(spark):
+def test_near_copies_in_wide_buckets(spark, monkeypatch):
     """Pairs of similarity 0.8 among texts with one common passage; one table, so no other bucket finds them."""
     passage, rows = [f"p{i}" for i in range(79)], []
     for g in range(100):
         own = [f"o{g}x{i}" for i in range(25)]
         rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join([*passage, *own[:-10], *(f"e{g}x{i}" for i in range(10))]))]
     _, keys, _ = simhash.sampled(pa.array([t for _, t in rows]), 5, 1, simhash.SAMPLE)
-    assert np.unique(keys, return_counts=True)[1].max() > simhash.WIDE
+    monkeypatch.setattr(simhash, "HEADS", 2)
+    assert np.unique(keys, return_counts=True)[1].max() > 16 * simhash.HEADS
     kept = sorted(r["doc_id"] for r in simhash.distinct_rows(docs(spark, rows), tables=1).collect())
     assert set(kept) <= set(joined(rows, 1).values())

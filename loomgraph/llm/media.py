@@ -116,7 +116,8 @@ def store(df: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str =
     """Write all texts; one row a row: id, n_bytes, digest, shard, offset, length (a written table).
 
     Null counts as empty, and an empty text has a payload of 192 spaces.  Equal
-    payloads share their digest.  Repeated rows come back as often as they
+    payloads share their digest; a content lies once in the shards of each task
+    that met it.  A text of any length is one payload.  Repeated rows come back as often as they
     came; other columns do not matter; an empty table writes nothing.
     """
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -182,16 +183,19 @@ def features(places: DataFrame, folder: str) -> DataFrame:
     """digest and what the stored bytes show, read back whole; a wrong payload is an error."""
 
     def read(file, offset, length):
-        width, height, _ = png_header(file.read_at(HEADER, offset))
         stored = file.read_at(length, offset)
         payload = from_png(stored)
-        return width, height, width * height, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)
 
-    return _ranged(places, folder, read, "width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _ranged(places, folder, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "media")
     index = store(table(spark, sf_dir, "documents"), folder)
-    seen = keep(features(addresses(index), folder), "media-features")
-    return index.select(F.col("id").alias("doc_id"), "n_bytes", "digest").join(seen, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    places = keep(addresses(index), "media-places")
+    seen = keep(features(places, folder), "media-features")
+    heads = keep(metadata(places, folder), "media-heads")
+    contents = places.join(heads, "digest").join(seen, "digest")
+    shown = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits"]
+    return index.select(F.col("id").alias("doc_id"), "n_bytes", "digest").join(contents, "digest").select(*shown)

@@ -8,14 +8,19 @@ those that models fitted without the row's fold give; scoring feeds the full
 models' probabilities on.
 
 Features are chosen by their association with a label, counted by Spark over
-the training rows; the models are fitted in the driver on the chosen features
-only.  The training rows are bounded (``TRAIN_ROWS`` labelled rows by a hash of
-the id), copies among them count once.  Scoring is one narrow pass over all
-texts, with a model whose size does not depend on the data.
+the training rows, for the full models over all of them and for the models of a
+fold without that fold's rows; the models are fitted in the driver on the chosen
+features only.  Texts that share their least shingle hash, copies above all, are
+in one fold, so that no fold learns from copies of its own rows.  The training
+rows are bounded (``TRAIN_ROWS`` labelled rows by a hash of the id).  Scoring is
+one narrow pass over all texts, with a model whose size does not depend on the
+data.  The chain has as many links as there are label columns; the labels table
+gives two.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,6 +84,17 @@ def known_features(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) ->
     return pairs // len(chosen), pairs % len(chosen)
 
 
+def features(data: np.ndarray, offsets: np.ndarray, found) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """a, b, row (from 0) and feature of rows a to b by ``found``, one of the two above; a long text is taken cut by cut."""
+    for a, b in bytesets.pieces(offsets):
+        part = data[offsets[a] : offsets[b]]
+        if b == a + 1 and len(part) > bytesets.PIECE:
+            each = np.unique(np.concatenate([found(part[i:j], np.array([0, j - i]))[1] for i, j in bytesets.spans(part, 1, bytesets.LETTERS)]))
+            yield a, b, np.zeros(len(each), np.int64), each
+        else:
+            yield a, b, *found(part, offsets[a : b + 1] - offsets[a])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -122,8 +138,7 @@ class Chain:
         """Rows x categories."""
         n = len(offsets) - 1
         out = np.zeros((n, len(self.categories)))
-        for a, b in bytesets.pieces(offsets):
-            row, col = known_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], self.chosen)
+        for a, b, row, col in features(data, offsets, lambda d, o: known_features(d, o, self.chosen)):
             for k, (w, d, bias) in enumerate(self.links):
                 out[a:b, k] = _sigmoid(np.bincount(row, w[col], b - a) + out[a:b, :k] @ d + bias)
         return out
@@ -142,7 +157,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, features: int = FEATURES) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, features_: int = FEATURES) -> Chain:
     """A chain over ``targets`` (name to a boolean column of ``labels``, in chain order).
 
     Rows with a null id or label, and labels without a document, are left out;
@@ -156,70 +171,82 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     found = keep(texts.join(F.broadcast(kept), "id"), "toxicity-sample")
 
-    def sketched(batches):
+    def folded(batches):
         for batch in batches:
             data, offsets = bytesets.raw(batch.column(1))
             mark = np.zeros(len(batch), np.uint64)
-            for a, b in bytesets.pieces(offsets):
-                words = bytesets.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                row, start, end = words.shingles(3)
+            for a, _, row, h in bytesets.shingle_hashes(data, offsets, 3):
                 if len(row):
                     first = np.flatnonzero(np.diff(row, prepend=-1))
-                    mark[a + row[first]] = np.minimum.reduceat(bytesets.xxh64(words.text, start, end), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark.view(np.int64))], names=["id", "mark"])
+                    mark[a + row[first]] = np.minimum.reduceat(h, first)
+            # least hashes are small numbers: the lower bits tell them apart
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((mark % np.uint64(FOLDS)).astype(np.int32))], names=["id", "text", *names, "fold"])
 
-    ids = found.schema["id"].dataType.simpleString()
-    marks = found.select("id", "text").mapInArrow(sketched, f"id {ids}, mark long")
-    single = found.select("id", *names).distinct().join(marks.distinct(), "id").groupBy("mark", *names).agg(F.min("id").alias("id"))
-    sample = keep(found.select("id", "text").join(F.broadcast(single), "id").dropDuplicates(["id"]), "toxicity-train")
+    ids, each = found.schema["id"].dataType.simpleString(), ", ".join(f"{n} int" for n in names)
+    sample = keep(found.select("id", "text", *names).mapInArrow(folded, f"id {ids}, text string, {each}, fold int"), "toxicity-train")
 
     def counted(batches):
         for batch in batches:
             data, offsets = bytesets.raw(batch.column(0))
-            y = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(names))], 1) if len(batch) else np.zeros((0, len(names)))
-            for a, b in bytesets.pieces(offsets):
-                row, feature = word_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            fold = batch.column(1).to_numpy().astype(np.int64)
+            y = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(names))], 1) if len(batch) else np.zeros((0, len(names)))
+            for a, b, row, feature in features(data, offsets, word_features):
                 each, inverse = np.unique(feature, return_inverse=True)
-                sums = [np.bincount(inverse, minlength=len(each))] + [np.bincount(inverse, y[a:b, k][row], len(each)) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), *[pa.array(s.astype(np.int64)) for s in sums]], names=["feature", "n", *names])
-
-    counts = sample.select("text", *names).mapInArrow(counted, "feature long, n long, " + ", ".join(f"{n} long" for n in names))
-    counts = keep(counts.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).where(F.col("n") >= LEAST), "toxicity-counts")
-    total = sample.agg(F.count("*").alias("all"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    best: set[int] = set()
-    for n in names:
-        if 0 < total[n] < total["all"]:
-            expected = F.col("n") * F.lit(total[n] / total["all"])
-            chi = F.pow(F.col(n) - expected, 2) / (expected * F.lit(1 - total[n] / total["all"]))
-            best |= {r["feature"] for r in counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(features).collect()}
-    chosen = np.sort(np.array(sorted(best), np.int64).view(np.uint64))
+                place = inverse * FOLDS + fold[a:b][row]
+                sums = [np.bincount(place, minlength=len(each) * FOLDS)] + [np.bincount(place, y[a:b, k][row], len(each) * FOLDS) for k in range(len(names))]
+                use = np.flatnonzero(sums[0])
+                yield pa.RecordBatch.from_arrays([pa.array(each[use // FOLDS].view(np.int64)), pa.array((use % FOLDS).astype(np.int32)), *[pa.array(s[use].astype(np.int64)) for s in sums]], names=["feature", "fold", "n", *names])
+
+    sums = ["n", *names]
+    counts = sample.select("text", "fold", *names).mapInArrow(counted, "feature long, fold int, " + ", ".join(f"{n} long" for n in sums))
+    part = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}")
+    counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in sums], *[part(c, k) for c in sums for k in range(FOLDS)])
+    counts = keep(counts.where(F.col("n") >= LEAST), "toxicity-counts")
+    total = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()}
+    every = {c: sum(r[c] for r in total.values()) for c in sums}
+
+    def best(label: str, out: int | None) -> np.ndarray:
+        """The features most associated with the label in all rows, or in those outside of a fold."""
+        less = {c: total[out][c] if out in total else 0 for c in sums}
+        rows_, hits = every["n"] - less["n"], every[label] - less[label]
+        if not 0 < hits < rows_:
+            return np.zeros(0, np.uint64)
+        n, y = (F.col(c) - (F.col(f"{c}_{out}") if out is not None else 0) for c in ("n", label))
+        expected = n * F.lit(hits / rows_)
+        chi = F.pow(y - expected, 2) / (expected * F.lit(1 - hits / rows_))
+        top = counts.where(n >= LEAST).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(features_).collect()
+        return np.array([r["feature"] for r in top], np.int64).view(np.uint64)
+
+    sets = [np.unique(np.concatenate([best(n, k) for n in names])) for k in (*range(FOLDS), None)]
+    chosen, known = sets[-1], np.unique(np.concatenate(sets))
 
     def picked(batches):
         for batch in batches:
             data, offsets = bytesets.raw(batch.column(1))
             lists: list[np.ndarray] = []
-            for a, b in bytesets.pieces(offsets):
-                row, col = known_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], chosen)
+            for a, b, row, col in features(data, offsets, lambda d, o: known_features(d, o, known)):
                 lists += np.split(col, np.searchsorted(row, np.arange(1, b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "cols", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "cols", *names, "fold"])
 
     # at most ``rows`` rows of a few dozen indexes each
-    got = sample.select("id", "text", *names).mapInArrow(picked, f"id {ids}, cols array<int>, " + ", ".join(f"{n} int" for n in names)).orderBy(F.xxhash64("id"), "id").collect()
+    got = sample.select("id", "text", *names, "fold").mapInArrow(picked, f"id {ids}, cols array<int>, {each}, fold int").orderBy(F.xxhash64("id"), "id", *names).collect()
     chain = Chain(names, chosen)
     row = np.repeat(np.arange(len(got)), [len(r["cols"]) for r in got]).astype(np.int64)
     col = np.array([c for r in got for c in r["cols"]], np.int64)
-    fold = np.arange(len(got)) % FOLDS
+    fold = np.array([r["fold"] for r in got], np.int64)
+    mine = [np.isin(known, s)[col] for s in sets]  # a model's own features
     outside = np.zeros((len(got), 0))
     for n in names:
         y = np.array([r[n] for r in got], float)
-        chain.links.append(fit(row, col, len(chosen), outside, y))
+        w, d, b = fit(row[mine[-1]], col[mine[-1]], len(known), outside, y)
+        chain.links.append((w[np.isin(known, chosen)], d, b))
         p = np.zeros(len(got))
         for k in range(FOLDS):
             use, rest = fold != k, fold == k
             place = np.cumsum(use) - 1
-            pair = use[row]
-            w, d, b = fit(place[row[pair]], col[pair], len(chosen), outside[use], y[use])
-            p[rest] = _sigmoid(np.bincount(row, w[col], len(got)) + outside @ d + b)[rest] if len(got) else p[rest]
+            pair = use[row] & mine[k]
+            w, d, b = fit(place[row[pair]], col[pair], len(known), outside[use], y[use])
+            p[rest] = _sigmoid(np.bincount(row[mine[k]], w[col[mine[k]]], len(got)) + outside @ d + b)[rest] if len(got) else p[rest]
         chain.thresholds.append(_threshold(p, y))
         outside = np.column_stack([outside, p])
     return chain
@@ -228,8 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_
 def score(df: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, a probability ``p_<category>`` and a boolean ``<category>`` for each category of the chain.
 
-    Null, empty and letterless texts get the base rates.  Equal texts get equal
-    scores; repeated rows come back as often as they came; other columns do not
+    Null, empty and letterless texts get the base rates.  Texts may be of any
+    length.  Equal texts get equal scores; repeated rows come back as often as they came; other columns do not
     matter; an empty table gives an empty table.
     """
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

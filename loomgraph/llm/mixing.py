@@ -12,7 +12,8 @@
    tree: each node splits the vector of block counts between its halves by a
    multivariate hypergeometric draw, so that the leaves' quotas add up exactly.
    The blocks of a source, permuted once more, then fill the leaves' quotas in
-   turn: disjoint, whole blocks.  Rows are shuffled inside their shard by a hash.
+   turn: disjoint, whole blocks.  Each copy of a row gets a keyed hash, its turn:
+   sorted by it, the rows of a shard are shuffled.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, shards: int = 16, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with size, source_size, target and ``draws`` (array of pass, words, shard).
+    """Rows with size, source_size, target and ``draws`` (array of pass, words, shard, turn).
 
     Null text has no words; a null source is a source of its own and comes last;
     a null id is hashed as empty.  Repeated rows are drawn each by itself.  A
@@ -129,28 +130,31 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     rows = rows.join(blocks, (F.col("skey") == F.col("bkey")) & (F.col("block") == F.col("bblock")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("before") - F.col("ahead")))
     draws = F.filter(
-        F.transform(F.coalesce(F.col("homes"), F.array().cast("array<struct<pass:int,shard:int>>")), lambda h: F.struct(h["pass"].alias("pass"), F.when(h["pass"] < F.col("whole"), F.col("size")).otherwise(part).alias("words"), h["shard"].alias("shard"))),
+        F.transform(F.coalesce(F.col("homes"), F.array().cast("array<struct<pass:int,shard:int>>")), lambda h: F.struct(h["pass"].alias("pass"), F.when(h["pass"] < F.col("whole"), F.col("size")).otherwise(part).alias("words"), h["shard"].alias("shard"), _key(F.concat_ws(":", F.lit(f"turn{seed}"), F.col("key"), h["pass"])).alias("turn"))),
         lambda d: d["words"] > 0,
     )
     return rows.select("doc_id", *carry, "size", "source_size", "target", draws.alias("draws"))
 
 
 def placed(mixed: DataFrame) -> DataFrame:
-    """One row a whole copy of a document, with its pass and output shard.
+    """One row a whole copy of a document, with its pass, output shard and turn in it; shard by shard, shuffled.
 
     Texts are never cut: a copy drawn in part is kept when at least half of its
     words were drawn, else left out; that concerns one document a source.
     """
     one = mixed.withColumn("draw", F.explode("draws")).where(F.col("draw.words") * 2 >= F.col("size"))
-    return one.withColumn("pass", F.col("draw.pass")).withColumn("shard", F.col("draw.shard")).drop("draw", "draws")
+    one = one.withColumn("pass", F.col("draw.pass")).withColumn("shard", F.col("draw.shard")).withColumn("turn", F.col("draw.turn")).drop("draw", "draws")
+    return one.repartitionByRange("shard", "turn").sortWithinPartitions("shard", "turn")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    named = lambda c: F.array_join(F.transform("draws", lambda d: d[c].cast("string")), ",").alias(f"{c}s")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), named("shard"), named("turn"))
 
 
+#: The contract's columns; the shards and turns of the splitting tree are not expressible in SQL, tests draw them again.
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS skey,

@@ -20,5 +20,4 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op7_chat": chat.OP7_SQL,
-    "op9_mixing": mixing.OP9_SQL,
 }

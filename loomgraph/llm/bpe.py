@@ -18,9 +18,9 @@ have no token in common (they are out of step in a repetition), the later one is
 taken anew from a token's start in the earlier one, further and further back.
 
 Memory is bound by bytes, whatever the texts look like: a run of text holds
-``PIECE`` characters, a query ``QUERY_BYTES`` rows, and each worker remembers
-words it has seen lately, in two generations of at most ``KNOWN`` short words;
-the result does not depend on it.
+``PIECE`` characters, a query ``QUERY_BYTES`` rows, and a task remembers words
+it has seen lately, in two generations of about ``KNOWN`` short words; the
+result does not depend on it.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from . import bytesets
 from .shared import table
 
-#: Rows of a query, words kept by a worker (two generations), characters of text taken at a time.
-QUERY_BYTES, KNOWN, PIECE = 1 << 17, 100_000, 1 << 18
+#: Rows of a query, words kept by a task (two generations), characters of text taken at a time.
+QUERY_BYTES, KNOWN, PIECE = 1 << 17, 150_000, 1 << 20
 #: Bytes of a word that is encoded in windows, bytes of a window, and from one window to the next; windows in hand at a time.
 LONG, WINDOW, STRIDE, WINDOWS = 192, 64, 40, 1 << 11
 
@@ -204,13 +205,16 @@ class Codec:
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
-def codec(ranks_file: bytes) -> Codec:
-    """This process's codec for a rank file; made once."""
-    held = sys.__dict__.setdefault("_loomgraph_bpe", {})
-    key = hashlib.sha256(ranks_file).hexdigest()
-    if key not in held:
-        held[key] = Codec(ranks_file)
-    return held[key]
+@contextmanager
+def codec(ranks_file: bytes) -> Iterator[Codec]:
+    """A codec for one task; a worker that waits for its next task holds no memory of it."""
+    this = Codec(ranks_file)
+    try:
+        yield this
+    finally:
+        this.db.close()
+        this.known, this.older, this.ranks, this.names = {}, {}, {}, []
+        bytesets.trim()
 
 
 def runs(texts: list[str], pattern) -> Iterator[list[tuple[int, list[str]]]]:
@@ -253,11 +257,11 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, ranks: str | None, patter
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        this, cut = codec(sent.value), regex.compile(pattern)
-        for batch in batches:
-            cols = list(zip(*rows(this, cut, batch.column(1).to_pylist()), strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], names=["id", *schema.names])
-        bytesets.trim()
+        cut = regex.compile(pattern)
+        with codec(sent.value) as this:
+            for batch in batches:
+                cols = list(zip(*rows(this, cut, batch.column(1).to_pylist()), strict=True)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], names=["id", *schema.names])
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, {ddl}")
 
@@ -285,13 +289,13 @@ def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: st
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        this = codec(sent.value)
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-            out = this.decoded(np.diff(ends).tolist(), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
+        with codec(sent.value) as this:
+            for batch in batches:
+                lists = batch.column(1)
+                ends = lists.offsets.to_numpy()
+                values = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+                out = this.decoded(np.diff(ends).tolist(), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, bytes binary")
 

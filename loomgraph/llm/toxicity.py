@@ -267,6 +267,7 @@ def score(df: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str
             p = chain.probabilities(*bytesets.raw(batch.column(1)))
             out = [x for k, cut in enumerate(chain.thresholds) for x in (pa.array(p[:, k]), pa.array(p[:, k] > cut))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", *names])
+        bytesets.trim()
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, " + ", ".join(f"p_{n} double, {n} boolean" for n in chain.categories))
 

@@ -123,7 +123,7 @@ def a19(spark, sf):
 def g27(spark, sf):
     from ..plans.selectors import E, Q
 
-    flow = ((Q.by_id("p:1") | Q.by_id("p:2")) >> Q.kind("region")).via(E.kinds("DATAFLOW", "CONTAINS")).depth(8).limit_paths(10_000_000)
+    flow = ((Q.by_id("p:1") | Q.by_id("p:2")) >> Q.kind("region")).via(E.kinds("DATAFLOW", "CONTAINS")).depth(8).unlimited()
     return paths.run(flow, nodes(spark, sf), edges(spark, sf)).groupBy(F.col("src").alias("first")).agg(F.max("depth").alias("depth"))
 
 
@@ -153,11 +153,11 @@ def g33(spark, sf):
     return paths.components(e)
 
 
-@query("g34_co_change_cluster", "WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_suppkey <= 100), n AS (SELECT s, count(*) AS n FROM c GROUP BY s), p AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM c x JOIN c y ON x.o = y.o AND x.s < y.s GROUP BY ALL), e AS (SELECT a, b FROM p JOIN n u ON u.s = a JOIN n v ON v.s = b WHERE k / (u.n + v.n - k)::DOUBLE >= 0.022), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM w UNION SELECT r.node, w.b FROM r JOIN w ON w.a = r.other) SELECT node, min(other) AS root FROM r GROUP BY node")
+@query("g34_co_change_cluster", "WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT s, count(*) AS n FROM c GROUP BY s), p AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM c x JOIN c y ON x.o = y.o AND x.s < y.s GROUP BY ALL), e AS (SELECT a, b FROM p JOIN n u ON u.s = a JOIN n v ON v.s = b WHERE k / (u.n + v.n - k)::DOUBLE >= 0.022), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM w UNION SELECT r.node, w.b FROM r JOIN w ON w.a = r.other) SELECT node, min(other) AS root FROM r GROUP BY node")
 def g34(spark, sf):
     from ..operators.history import co_changes
 
-    li = read(spark, sf, "lineitem").where("l_suppkey <= 100").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path"))
+    li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path"))
     e = co_changes(li).where("coupling >= 0.022").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return paths.components(e)
 
@@ -231,7 +231,16 @@ def k12(spark, sf):
     return paths.levels(edges(spark, sf).where("kind IN ('CALLS', 'CONTAINS')"))
 
 
-@query("g32_strong_components", "SELECT node, root FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'a'), ('x', 'x')) v(node, root)")
+@query("g32_strong_components", """WITH n AS (SELECT c_custkey AS c, 24 AS ring FROM customer WHERE c_custkey > 0)
+SELECT 'c:' || lpad(c::VARCHAR, 9, '0') AS node, 'c:000000001' AS root FROM n WHERE c <= ring
+UNION ALL SELECT 'c:' || lpad(c::VARCHAR, 9, '0'), 'c:' || lpad((c - c % 2)::VARCHAR, 9, '0') FROM n WHERE c > ring AND c % 4 IN (0, 1) AND c - c % 2 > ring AND c - c % 2 + 1 IN (SELECT c FROM n)""")
 def g32(spark, sf):
-    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("x", "x"), ("d", "y")], "src string, dst string")
-    return paths.strong_components(e)
+    """Customers: the first 24 are one ring, of the others every second pair is mutual, and all hang below the ring."""
+    c, ring = read(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("c")), 24
+    name = lambda x: F.concat(F.lit("c:"), F.lpad(x.cast("string"), 9, "0"))
+    round_ = c.where(F.col("c") <= ring).select(name(F.col("c")).alias("src"), name(F.col("c") % ring + 1).alias("dst"))
+    other = c.where(F.col("c") > ring)
+    mates = other.where(F.col("c") % 4 == 0).join(other.select((F.col("c") - 1).alias("c")), "c")
+    pairs = mates.select(name(F.col("c")).alias("src"), name(F.col("c") + 1).alias("dst"))
+    below = other.select(name(F.col("c") % ring + 1).alias("src"), name(F.col("c")).alias("dst"))
+    return paths.strong_components(round_.unionByName(pairs).unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(below))

@@ -98,11 +98,11 @@ def t29(spark, sf):
     return H.expired_snapshots(s).select("repo_id", "snapshot_id")
 
 
-@query("d11_renames", """WITH f AS (SELECT p_partkey AS k, 'src/a/b/c/d/e/f/g/h/i' || p_size || '/x' || (p_partkey // 2) || '.py' AS path, 100 + p_size AS size FROM part WHERE p_partkey < 200), a AS (SELECT * FROM f WHERE k % 2 = 0), d AS (SELECT k, path, size, list_distinct(string_split(path, '/')) AS parts FROM f WHERE k % 2 = 1),
+@query("d11_renames", """WITH f AS (SELECT p_partkey AS k, 'src/a/b/c/d/e/f/g/h/i' || p_size || '/x' || (p_partkey // 2) || '.py' AS path, 100 + p_size AS size FROM part), a AS (SELECT * FROM f WHERE k % 2 = 0), d AS (SELECT k, path, size, list_distinct(string_split(path, '/')) AS parts FROM f WHERE k % 2 = 1),
 p AS (SELECT a.path, d.path AS old_path, len(list_intersect(list_distinct(string_split(a.path, '/')), d.parts)) / len(list_distinct(list_concat(string_split(a.path, '/'), d.parts)))::DOUBLE AS alike FROM a, d WHERE least(a.size, d.size) / greatest(a.size, d.size)::DOUBLE >= 0.9)
 SELECT path, old_path, round(alike, 6) AS alike FROM p WHERE alike >= 0.75 QUALIFY row_number() OVER (PARTITION BY path ORDER BY alike DESC, old_path) = 1""")
 def d11(spark, sf):
     k = F.col("p_partkey")
-    f = read(spark, sf, "part").where(k < 200).select(k.alias("k"), F.concat(F.lit("src/a/b/c/d/e/f/g/h/i"), F.col("p_size").cast("string"), F.lit("/x"), F.floor(k / 2).cast("string"), F.lit(".py")).alias("path"), (F.col("p_size") + 100).alias("size"))
+    f = read(spark, sf, "part").select(k.alias("k"), F.concat(F.lit("src/a/b/c/d/e/f/g/h/i"), F.col("p_size").cast("string"), F.lit("/x"), F.floor(k / 2).cast("string"), F.lit(".py")).alias("path"), (F.col("p_size") + 100).alias("size"))
     out = H.rename_pairs(f.where("k % 2 = 0"), f.where("k % 2 = 1"), alike_least=0.75)
     return out.select("path", "old_path", F.round("alike", 6).alias("alike"))

@@ -32,7 +32,7 @@ SELECT src, dst, depth, array_to_string(path, '>') AS path FROM p WHERE done"""
 @query("path_order_to_region", _recursive("kind = 'order' AND name = 'F'", "kind IN ('CALLS', 'CONTAINS')", 3, "kind = 'region'"))
 def order_to_region(spark, sf):
     """Which region each finished order rolls up to."""
-    flow = (Q.kind("order", "F") >> Q.kind("region")).via(E.kinds("CALLS", "CONTAINS")).depth(3).limit_paths(10_000_000)
+    flow = (Q.kind("order", "F") >> Q.kind("region")).via(E.kinds("CALLS", "CONTAINS")).depth(3).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
@@ -162,13 +162,13 @@ def k04(spark, sf):
 
 @query("g01_forward_paths", _recursive("kind = 'part' AND file_path = 'Brand#13'", "kind IN ('DATAFLOW', 'CONTAINS')", 3, "kind = 'region'"))
 def g01(spark, sf):
-    flow = ((Q.kind("part") & Q.in_file("Brand#13")) >> Q.kind("region")).via(E.kinds("DATAFLOW", "CONTAINS")).depth(3).limit_paths(10_000_000)
+    flow = ((Q.kind("part") & Q.in_file("Brand#13")) >> Q.kind("region")).via(E.kinds("DATAFLOW", "CONTAINS")).depth(3).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
 @query("g02_backward_paths", with_(EDGES) + "SELECT r.id AS src, c.src AS dst, 2 AS depth, r.id || '>' || n.src || '>' || c.src AS path FROM (SELECT 'r:1' AS id) r JOIN edges n ON n.dst = r.id AND n.kind = 'CONTAINS' JOIN edges c ON c.dst = n.src AND c.kind = 'CONTAINS' AND c.src LIKE 'c:%'")
 def g02(spark, sf):
-    flow = (Q.kind("customer") << Q.by_id("r:1")).via(E.kinds("CONTAINS")).depth(2).limit_paths(10_000_000)
+    flow = (Q.kind("customer") << Q.by_id("r:1")).via(E.kinds("CONTAINS")).depth(2).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
@@ -179,25 +179,25 @@ def g03(spark, sf):
 
 @query("g05_depth_bounds", with_(EDGES) + "SELECT count(*) AS n FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'CONTAINS' AND b.dst LIKE 'r:%' WHERE a.kind = 'CONTAINS'")
 def g05(spark, sf):
-    flow = (Q.any() >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(3, 2).limit_paths(10_000_000)
+    flow = (Q.any() >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(3, 2).unlimited()
     return paths.run(flow, nodes(spark, sf), edges(spark, sf)).where("depth = 2").agg(F.count("*").alias("n"))
 
 
 @query("g06_path_predicate", _recursive("id LIKE 'c:1%'", "kind = 'CONTAINS'", 2, "kind = 'region'") + " AND list_contains(path, 'n:3')")
 def g06(spark, sf):
-    flow = ((Q.kind("customer") & Q.like("c:1%")) >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).where_path(lambda p: F.array_contains(p, "n:3")).limit_paths(10_000_000)
+    flow = ((Q.kind("customer") & Q.like("c:1%")) >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).where_path(lambda p: F.array_contains(p, "n:3")).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
 @query("g08_excluding", _recursive("kind = 'supplier'", "kind = 'CONTAINS' AND src <> 'n:3' AND dst <> 'n:3'", 2, "kind = 'region'"))
 def g08(spark, sf):
-    flow = (Q.kind("supplier") >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).excluding(Q.by_id("n:3")).limit_paths(10_000_000)
+    flow = (Q.kind("supplier") >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).excluding(Q.by_id("n:3")).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
 @query("u06_cleansed_by", _recursive("kind = 'supplier'", "kind = 'CONTAINS'", 2, "kind = 'region'") + " AND (list_contains(path, 'n:3') OR list_contains(path, 'n:5'))")
 def u06(spark, sf):
-    flow = (Q.kind("supplier") >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).cleansed_by(Q.by_id("n:3") | Q.by_id("n:5")).limit_paths(10_000_000)
+    flow = (Q.kind("supplier") >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).cleansed_by(Q.by_id("n:3") | Q.by_id("n:5")).unlimited()
     return _show(paths.run(flow, nodes(spark, sf), edges(spark, sf)))
 
 
@@ -217,5 +217,5 @@ def g09(spark, sf):
 @query("g14_shortest_paths", with_(EDGES) + "SELECT a.src, b.dst, 2 AS depth, min(a.src || '>' || a.dst || '>' || b.dst) AS path FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'DATAFLOW' WHERE a.kind = 'REFERENCES' AND a.src IN ('o:1', 'o:2', 'o:3', 'o:4', 'o:5') GROUP BY a.src, b.dst")
 def g14(spark, sf):
     starts = Q.union(*[Q.by_id(f"o:{i}") for i in range(1, 6)])
-    flow = (starts >> Q.kind("supplier")).via(E.kinds("REFERENCES", "DATAFLOW")).depth(2).limit_paths(10_000_000)
+    flow = (starts >> Q.kind("supplier")).via(E.kinds("REFERENCES", "DATAFLOW")).depth(2).unlimited()
     return _show(paths.one_shortest(paths.run(flow, nodes(spark, sf), edges(spark, sf))))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import keep
-from .selectors import Flow, NodeSelector
+from .selectors import UNLIMITED, Flow, NodeSelector
 
 #: The search starts from the targets when they are so many times fewer than the sources.
 FLIP = 10
@@ -68,7 +68,9 @@ def run(flow: Flow, nodes: DataFrame, edges: DataFrame, flip: bool = True) -> Da
     for predicate in flow.predicates:
         found = found.where(predicate(F.col("path")))
     out = found.select(F.col("first").alias("src"), F.col("node").alias("dst"), "depth", "path")
-    return out.orderBy("depth", "path").limit(flow.limits.max_paths)
+    out = out.orderBy("depth", "path")
+    # a limited sort holds that many rows in each task
+    return out if flow.limits.max_paths >= UNLIMITED else out.limit(flow.limits.max_paths)
 
 
 def any_path(flow: Flow, nodes: DataFrame, edges: DataFrame) -> bool:
@@ -189,15 +191,55 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def strong_components(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """node, root of every strongly connected component of two nodes or more, and of self-loops.
-
-    Forward and backward reach of each node meet in its component; the root is the smallest id.
+def _settled(step, now: DataFrame, label: str, unrolled: int = 8) -> DataFrame:
+    """``step`` (node, value to node, value) applied until nothing changes, a few times between two writes."""
+    while True:
+        after = now
+        for _ in range(unrolled):
+            after = step(after)
+        after = keep(after, label)
+        if after.join(now.withColumnRenamed("value", "was"), "node", "left").where("was IS NULL OR was != value").isEmpty():
+            return after
+        now = after
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, root of every strongly connected component of two nodes or more, and of self-loops; the root is the smallest id.
+
+    Forward-backward colouring: nodes without an edge in or out are trimmed; the
+    smallest id that reaches a node is its colour; what reaches the colour's own
+    node inside the colour is a component.  It leaves, and the rest goes on,
+    edges between colours dropped, until no edge is left.  All steps run to
+    their fixpoint, so cycles may be of any length.
     """
-    e = edges.select("src", "dst").distinct()
-    both = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    ahead = reach(e, both, depth).select("start", "node")
-    pairs = ahead.join(ahead.select(F.col("start").alias("node"), F.col("node").alias("start")), ["start", "node"], "left_semi")
-    loops = e.where("src = dst").select(F.col("src").alias("start"), F.col("src").alias("node"))
-    pairs = pairs.unionByName(loops)
-    return pairs.groupBy(F.col("start").alias("node")).agg(F.min(F.least("node", "start")).alias("root"))
+    every = edges.select("src", "dst").distinct()
+    e = keep(every.where("src != dst"), "strong-edges")
+    found = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"))
+    while True:
+        size = e.count()
+        trimmed = e
+        for _ in range(4):
+            trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = keep(trimmed.select("src", "dst"), "strong-edges")
+        left = e.count()
+        if not left:
+            return found.groupBy("node").agg(F.min("root").alias("root"))
+        if left < size:
+            continue
+        own = e.select(F.col("src").alias("node")).distinct().withColumn("value", F.col("node"))
+
+        def ahead(now, e=e):
+            sent = now.join(e, now["node"] == e["src"]).select(F.col("dst").alias("node"), "value")
+            return now.unionByName(sent).groupBy("node").agg(F.min("value").alias("value"))
+
+        colour = _settled(ahead, keep(own, "strong-colours"), "strong-colours")
+        inside = keep(e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")), "strong-inside")
+
+        def back(now, inside=inside):
+            sent = inside.join(now, inside["dst"] == now["node"]).select(F.col("src").alias("node"), F.col("colour").alias("value"))
+            return now.unionByName(sent).distinct()
+
+        part = _settled(back, keep(colour.where("node = value"), "strong-parts"), "strong-parts")
+        found = found.unionByName(part.join(part.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value").select("node", F.col("value").alias("root")))
+        gone = part.select("node")
+        e = keep(inside.join(gone, inside["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti").select("src", "dst"), "strong-edges")

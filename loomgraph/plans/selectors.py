@@ -137,6 +137,10 @@ class E:
         return EdgeSelector(names)
 
 
+#: A limit that is none.
+UNLIMITED = 2**31 - 1
+
+
 @dataclass(frozen=True)
 class Limits:
     """Bounds of a path search; zeros are rejected."""
@@ -152,9 +156,10 @@ class Limits:
 
     @staticmethod
     def unlimited() -> Limits:
-        return Limits(2**31 - 1, 2**31 - 1, 2**31 - 1)
+        return Limits(UNLIMITED, UNLIMITED, UNLIMITED)
 
 
+# Presets and budgets of a search.
 #: Presets: longest path, paths, expansions.
 PRESETS = {"realtime": (3, 10, 100), "pr": (10, 100, 1_000), "full": (20, 1_000, 10_000)}
 BUDGETS = {"light": (100, 500, 10, 5, 5), "default": (1_000, 5_000, 100, 10, 30), "heavy": (10_000, 50_000, 500, 20, 120)}
@@ -198,6 +203,9 @@ class Flow:
     def within(self, scope: NodeSelector) -> Flow:
         return replace(self, inside=scope)
 
+    def unlimited(self) -> Flow:
+        return replace(self, limits=Limits.unlimited())
+
     def limit_paths(self, n: int) -> Flow:
         return replace(self, limits=replace(self.limits, max_paths=n))
 

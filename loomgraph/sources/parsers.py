@@ -86,8 +86,9 @@ def diff_hunks(text: DataFrame, key: str = "path", column: str = "content") -> D
     """file, old_start, old_count, new_start, new_count, added, removed of each hunk of unified diffs."""
     ls = lines(text, key, column)
     by = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.when(F.regexp_like("text", F.lit(r"^\+\+\+ ")), F.regexp_replace("text", r"^\+\+\+ (b/)?", ""))
-    ls = ls.withColumn("file", F.last(name, ignorenulls=True).over(by)).withColumn("hunk", F.sum(F.regexp_like("text", F.lit("^@@ ")).cast("int")).over(by))
+    side = lambda mark, prefix: F.last(F.when(F.regexp_like("text", F.lit(f"^{mark} ")), F.regexp_replace("text", f"^{mark} ({prefix}/)?", "")), ignorenulls=True).over(by)
+    # a deleted file has no new name
+    ls = ls.withColumn("old", side("---", "a")).withColumn("new", side(r"\+\+\+", "b")).withColumn("file", F.when(F.col("new") == "/dev/null", F.col("old")).otherwise(F.col("new"))).withColumn("hunk", F.sum(F.regexp_like("text", F.lit("^@@ ")).cast("int")).over(by))
     ls = ls.where("hunk > 0 and file is not null")
     spec = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     nums = [F.max(F.when(F.regexp_like("text", F.lit("^@@ ")), F.when(F.regexp_extract("text", spec, i) == "", "1").otherwise(F.regexp_extract("text", spec, i)))).cast("int").alias(n) for i, n in ((1, "old_start"), (2, "old_count"), (3, "new_start"), (4, "new_count"))]

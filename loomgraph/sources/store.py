@@ -44,7 +44,7 @@ class ChunkFilter:
     visibility: str | None = None
     least_importance: float | None = None
     include_deleted: bool = False
-    limit: int = 1000
+    limit: int | None = 1000
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -85,7 +85,8 @@ class ChunkStore:
         deps.dropDuplicates(["from_chunk_id", "to_chunk_id", "relationship"]).write.mode("append").parquet(f"{self.folder}/dependencies")
 
     def find(self, f: ChunkFilter) -> DataFrame:
-        return self.chunks().where(f.column()).orderBy("chunk_id").limit(f.limit)
+        found = self.chunks().where(f.column()).orderBy("chunk_id")
+        return found if f.limit is None else found.limit(f.limit)
 
     def get(self, chunk_id: str) -> DataFrame:
         return self.chunks().where(F.col("chunk_id") == chunk_id)

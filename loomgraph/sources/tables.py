@@ -112,7 +112,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Deterministic stand-ins for retrieval channels: lexical (8 a query), vector (10) and symbol (6).
     """
-    q = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"))
+    q = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
 
     def channel(name: str, n: int, step: int):
         e = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
@@ -126,7 +126,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 HITS = """hits AS (
   SELECT o_orderkey AS query_id, source, 'd:' || ((o_orderkey * 7 + i * step) % 37) AS chunk_id, ((o_orderkey * 31 + i * 17 + len(source)) % 100) / 100.0::DOUBLE AS score
   FROM orders, (VALUES ('lexical', 8, 3), ('vector', 10, 5), ('symbol', 6, 2)) v(source, n, step), generate_series(0, 9) g(i)
-  WHERE o_orderkey % 20 = 0 AND i < n)"""
+  WHERE i < n)"""
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:

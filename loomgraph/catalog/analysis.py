@@ -37,10 +37,14 @@ def j10(spark, sf):
     return read(spark, sf, "part").join(index, ["p_type", "p_brand"]).select("p_partkey", "rule")
 
 
-@query("c29_tiers", "SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 2), ('d', 2), ('e', 3), ('f', 3)) v(id, tier)")
+@query("c29_tiers", "SELECT p_partkey, [1, 2, 2, 2, 3, 3][p_partkey % 6 + 1] AS tier FROM part")
 def c29(spark, sf):
-    rows = spark.createDataFrame([("a", "sqlite3.Cursor", "execute"), ("b", None, "eval"), ("c", "*.Cursor", "execute"), ("d", None, "exec*"), ("e", "*.x", "ex*"), ("f", None, "*a*b")], "id string, t string, c string")
-    return rows.select("id", U.tier(F.col("t"), F.col("c")).alias("tier"))
+    n, at = F.col("p_size").cast("string"), (F.col("p_partkey") % 6 + 1).cast("int")
+    none = F.lit(None).cast("string")
+    exact, star = F.concat(F.lit("T"), n), F.concat(F.lit("*.T"), n)
+    type_ = F.element_at(F.array(exact, none, star, none, star, none), at)
+    call = F.element_at(F.array(exact, exact, exact, F.concat(exact, F.lit("*")), F.concat(exact, F.lit("*")), F.concat(F.lit("*"), n, F.lit("*"))), at)
+    return read(spark, sf, "part").select("p_partkey", U.tier(type_, call).alias("tier"))
 
 
 @query("f35_value_constraints", "SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS const, p_partkey % 4 = 2 AS not_const, p_partkey % 4 = 1 AS string_like, p_partkey % 4 = 0 AS int_like, p_partkey % 4 <> 3 AND length(arg) BETWEEN 1 AND 4 AS bound FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN '''' || p_size || '''' WHEN 2 THEN 'x.y' || p_size END AS arg FROM part)")
@@ -86,10 +90,11 @@ def f28(spark, sf):
     return kept.select("p_partkey", F.round(recency_boost(F.lit(1.0), k % 120, 0.3), 6).alias("score"))
 
 
-@query("n29_rule_shadowing", "SELECT * FROM (VALUES ('f', 'a', 'b'), ('f', 'a', 'c'), ('f', 'a', 'd'), ('f', 'd', 'c')) v(family, wide, narrow)")
+@query("n29_rule_shadowing", "WITH r AS (SELECT p_brand AS family, 'r' || p_partkey AS id, CASE p_partkey % 20 WHEN 0 THEN '*' WHEN 1 THEN substr(p_name, 1, 3) || '*' ELSE p_name || p_partkey END AS p FROM part) SELECT w.family, w.id AS wide, n.id AS narrow FROM r w JOIN r n ON w.family = n.family AND w.id <> n.id AND (w.p = n.p OR w.p = '*' OR (NOT contains(n.p, '*') AND contains(w.p, '*') AND starts_with(n.p, replace(w.p, '*', ''))))")
 def n29(spark, sf):
-    rules = spark.createDataFrame([("f", "a", "*"), ("f", "b", "x*"), ("f", "c", "execute"), ("f", "d", "exec*"), ("g", "e", "*")], "family string, rule_id string, pattern string")
-    return U.shadowing(rules)
+    k = F.col("p_partkey")
+    pattern = F.when(k % 20 == 0, "*").when(k % 20 == 1, F.concat(F.substring("p_name", 1, 3), F.lit("*"))).otherwise(F.concat("p_name", k.cast("string")))
+    return U.shadowing(read(spark, sf, "part").select(F.col("p_brand").alias("family"), F.concat(F.lit("r"), k.cast("string")).alias("rule_id"), pattern.alias("pattern")))
 
 
 @query("n36_arbitration", "SELECT o_orderkey AS id, o > min(o) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS suppressed FROM (SELECT *, o_orderkey % 4 AS o FROM orders)")
@@ -145,12 +150,20 @@ def s19(spark, sf):
     return S.vector_search(e, q, 1_000_000_000, 0.3).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("r04_symbol_search", "SELECT query_id, name, stage, score::DOUBLE AS score FROM (SELECT 'a' AS query_id, n_name AS name, 'exact' AS stage, 1.0 AS score FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'b', n_name, 'fuzzy', 0.5 FROM nation WHERE n_nationkey = 5)")
+_TRIGRAMS = "list_distinct([substr({0}, i, 3) FOR i IN generate_series(1, length({0}) - 2)])"
+
+
+@query("r04_symbol_search", f"""WITH q AS (SELECT k || n_nationkey AS query_id, lower(n_name) || tail AS t FROM nation, (VALUES ('e', ''), ('f', 'q'), ('t', 'qqq')) v(k, tail)),
+p AS (SELECT query_id, n_name AS name, t, levenshtein(t, lower(n_name)) AS d, {_TRIGRAMS.format('t')} AS x, {_TRIGRAMS.format('lower(n_name)')} AS y FROM q, nation),
+j AS (SELECT *, min(d) OVER (PARTITION BY query_id) AS least, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE AS alike FROM p),
+a AS (SELECT query_id, name, CASE WHEN least = 0 THEN 'exact' WHEN least <= 2 THEN 'fuzzy' ELSE 'trigram' END AS stage, CASE WHEN least <= 2 THEN 1 / (1.0 + d)::DOUBLE ELSE alike END AS score FROM j WHERE d = least AND least <= 2 OR least > 2 AND alike >= 0.7)
+SELECT query_id, name, stage, round(score, 6) AS score FROM a QUALIFY stage <> 'trigram' OR row_number() OVER (PARTITION BY query_id ORDER BY a.score DESC, name) <= 10""")
 def r04(spark, sf):
+    """Each nation by its name in small letters, with one letter more and with three more."""
     n = read(spark, sf, "nation")
-    exact = n.where("n_nationkey = 3").select(F.lit("a").alias("query_id"), F.lower("n_name").alias("text"))
-    near = n.where("n_nationkey = 5").select(F.lit("b").alias("query_id"), F.concat(F.col("n_name"), F.lit("q")).alias("text"))
-    return S.symbol_search(n.select(F.col("n_name").alias("name")), exact.unionByName(near))
+    asked = lambda kind, text: n.select(F.concat(F.lit(kind), F.col("n_nationkey").cast("string")).alias("query_id"), text.alias("text"))
+    queries = asked("e", F.lower("n_name")).unionByName(asked("f", F.concat("n_name", F.lit("q")))).unionByName(asked("t", F.concat("n_name", F.lit("qqq"))))
+    return S.symbol_search(n.select(F.col("n_name").alias("name")), queries).withColumn("score", F.round("score", 6))
 
 
 @query("r19_co_terms", f"SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT ts[i] AS a, unnest(ts[i + 1:i + 9]) AS b FROM (SELECT ts, unnest(generate_series(1, len(ts))) AS i FROM (SELECT {_TERMS.format('text')} AS ts FROM benchmark))) WHERE a <> b GROUP BY 1, 2")
@@ -186,23 +199,32 @@ def d06(spark, sf):
     return D.histogram_jaccard(h(0), h(1)).select(F.round("similarity", 6).alias("similarity"))
 
 
-@query("n01_points_to_unified", "SELECT * FROM (VALUES (1, 100), (2, 100), (3, 100), (1, 200), (2, 200), (3, 200), (4, 300)) v(var, location)")
+_GROUPS = "v AS (SELECT p_partkey AS k, p_partkey - p_partkey % 4 AS g FROM part)"
+
+
+@query("n01_points_to_unified", f"WITH {_GROUPS} SELECT k AS var, 1000000 + g AS location FROM v UNION ALL SELECT k, 2000002 + g FROM v WHERE g + 2 IN (SELECT k FROM v)")
 def n01(spark, sf):
-    return A.points_to_unified(_constraints(spark)).select(F.col("var").cast("int").alias("var"), F.col("location").cast("int").alias("location"))
+    return A.points_to_unified(_constraints(spark, sf)).select("var", "location")
 
 
-def _constraints(spark):
-    return spark.createDataFrame([("ALLOC", 1, 100), ("ALLOC", 3, 200), ("ALLOC", 4, 300), ("COPY", 2, 1), ("COPY", 3, 2)], "kind string, lhs long, rhs long")
+def _constraints(spark, sf):
+    """Variables in groups of four, each copied from the one before; the first and the third have a location of their own."""
+    k = F.col("p_partkey")
+    v = read(spark, sf, "part").select(k)
+    alloc = v.where(k % 4 == 0).select(F.lit("ALLOC").alias("kind"), k.alias("lhs"), (k + 1_000_000).alias("rhs"))
+    more = v.where(k % 4 == 2).select(F.lit("ALLOC").alias("kind"), k.alias("lhs"), (k + 2_000_000).alias("rhs"))
+    copy = v.where(k % 4 > 0).select(F.lit("COPY").alias("kind"), k.alias("lhs"), (k - 1).alias("rhs"))
+    return alloc.unionByName(more).unionByName(copy)
 
 
-@query("n02_points_to", "SELECT * FROM (VALUES (1, 100), (2, 100), (3, 100), (3, 200), (4, 300)) v(var, location)")
+@query("n02_points_to", f"WITH {_GROUPS} SELECT k AS var, 1000000 + g AS location FROM v UNION ALL SELECT k, 2000002 + g FROM v WHERE k % 4 >= 2")
 def n02(spark, sf):
-    return A.points_to(_constraints(spark)).select(F.col("var").cast("int").alias("var"), F.col("location").cast("int").alias("location"))
+    return A.points_to(_constraints(spark, sf)).select("var", "location")
 
 
-@query("n04_aliases", "SELECT * FROM (VALUES (1, 2, true), (1, 3, false), (2, 3, false)) v(a, b, must)")
+@query("n04_aliases", f"WITH {_GROUPS} SELECT a.k AS a, b.k AS b, b.k % 4 < 2 AS must FROM v a JOIN v b ON a.g = b.g AND a.k < b.k")
 def n04(spark, sf):
-    return A.aliases(A.points_to(_constraints(spark)).select(F.col("var").cast("int").alias("var"), "location"))
+    return A.aliases(A.points_to(_constraints(spark, sf)))
 
 
 _CALLS = "cl AS (SELECT DISTINCT 'c' || o_custkey AS src, 'n' || c_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), ow AS (SELECT 'r' || r_regionkey AS fn, CASE WHEN r_regionkey % 2 = 0 THEN 'PURE' ELSE 'NETWORK' END AS effect FROM region UNION ALL SELECT 'n' || n_nationkey, 'PURE' FROM nation UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'LOG' ELSE 'PURE' END FROM customer)"
@@ -313,10 +335,13 @@ def t24(spark, sf):
     return A.merged_states(b, {"F"}).select("object", "verdict")
 
 
-@query("j03_import_resolution", "SELECT * FROM (VALUES ('a.b.c', 'x.y.Z', 'x.y.Z', 'exact'), ('a.b.c', 'y.Z', 'x.y.Z', 'partial'), ('a.b.c', '.d', 'a.b.d', 'relative'), ('a.b.c', '..e', 'a.e', 'relative'), ('a.b.c', 'q', NULL, 'unresolved')) v(module, target, fqn, method)")
+@query("j03_import_resolution", "SELECT 'pk' || p_size || '.x' || p_partkey AS module, CASE p_partkey % 4 WHEN 0 THEN 'pk' || p_size || '.m' || p_partkey WHEN 1 THEN 'm' || p_partkey WHEN 2 THEN '.m' || p_partkey ELSE 'nothing' || p_partkey END AS target, CASE WHEN p_partkey % 4 < 3 THEN 'pk' || p_size || '.m' || p_partkey END AS fqn, ['exact', 'partial', 'relative', 'unresolved'][p_partkey % 4 + 1] AS method FROM part")
 def j03(spark, sf):
-    i = spark.createDataFrame([("a.b.c", t) for t in ("x.y.Z", "y.Z", ".d", "..e", "q")], "module string, target string")
-    return A.resolved_imports(i, spark.createDataFrame([("x.y.Z",), ("a.b.d",), ("a.e",)], "fqn string"))
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    p = read(spark, sf, "part")
+    fqn = F.concat(F.lit("pk"), n, F.lit(".m"), k)
+    target = F.element_at(F.array(fqn, F.concat(F.lit("m"), k), F.concat(F.lit(".m"), k), F.concat(F.lit("nothing"), k)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return A.resolved_imports(p.select(F.concat(F.lit("pk"), n, F.lit(".x"), k).alias("module"), target.alias("target")), p.select(fqn.alias("fqn")))
 
 
 @query("a28_complexity_class", "SELECT p_partkey, ['constant', 'linear', 'quadratic', 'cubic', 'exponential'][p_partkey % 5 + 1] AS class FROM part")
@@ -423,7 +448,10 @@ def u01(spark, sf):
     return p.where((F.col("p_brand") == "Brand#13") | ((F.col("p_size") > 40) & F.col("p_type").like("%ARD"))).select("p_partkey")
 
 
-@query("f39_wildcards", "SELECT * FROM (VALUES ('*.Cursor', 'sqlite3.cursor', true), ('execute*', 'executemany', true), ('x', 'X', true), ('*', '', false), ('a.c', 'abc', false)) v(pattern, text, hit)")
+@query("f39_wildcards", "SELECT p_partkey, [true, true, true, false, false][p_partkey % 5 + 1] AS hit FROM part")
 def f39(spark, sf):
-    rows = spark.createDataFrame([("*.Cursor", "sqlite3.cursor"), ("execute*", "executemany"), ("x", "X"), ("*", ""), ("a.c", "abc")], "pattern string, text string")
-    return rows.withColumn("hit", wildcard_match(F.col("pattern"), F.col("text")))
+    """A star stands for any run, a dot for itself; case does not count, an empty text never matches."""
+    name, at = F.col("p_name"), (F.col("p_partkey") % 5 + 1).cast("int")
+    pattern = F.element_at(F.array(F.concat(F.lit("*"), F.upper(F.right(name, F.lit(3)))), F.concat(F.substring(name, 1, 4), F.lit("*")), name, F.replace(name, F.lit(" "), F.lit(".")), F.lit("*")), at)
+    text = F.element_at(F.array(name, F.upper(name), F.upper(name), name, F.lit("")), at)
+    return read(spark, sf, "part").select("p_partkey", wildcard_match(pattern, text).alias("hit"))
\ No newline at end of file

@@ -79,10 +79,12 @@ def c09(spark, sf):
     return rows.select("p_partkey", "pattern", X.wildcard_match(F.col("pattern"), F.col("p_name")).alias("hit"))
 
 
-@query("c10_pattern_class", "SELECT pattern, class FROM (VALUES ('*x', 'suffix'), ('x*', 'prefix'), ('*x*', 'contains'), ('x', 'exact'), ('a*b', 'complex'), ('*', 'complex')) v(pattern, class)")
+@query("c10_pattern_class", "SELECT p_partkey, ['suffix', 'prefix', 'contains', 'exact', 'complex', 'complex'][p_partkey % 6 + 1] AS class FROM part")
 def c10(spark, sf):
-    rows = spark.createDataFrame([("*x",), ("x*",), ("*x*",), ("x",), ("a*b",), ("*",)], "pattern string")
-    return rows.select("pattern", X.pattern_class(F.col("pattern")).alias("class"))
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    kinds = [F.concat(F.lit("*"), name), F.concat(name, F.lit("*")), F.concat(F.lit("*"), name, F.lit("*")), name, F.concat(name, F.lit("*"), size), F.lit("*")]
+    pattern = F.element_at(F.array(*kinds), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", X.pattern_class(pattern).alias("class"))
 
 
 @query("c11_fqn", f"SELECT k, fqn, CASE WHEN contains(fqn, '.') THEN regexp_replace(fqn, '\\.[^.]*$', '') ELSE '' END AS parent, string_split(fqn, '.')[-1] AS name FROM (SELECT k, replace(regexp_replace(regexp_replace(path, '\\.[A-Za-z]+$', ''), '^(.*/)?src/', ''), '/', '.') AS fqn FROM {_NAMES})")
@@ -256,10 +258,13 @@ def c39(spark, sf):
     return names(spark, sf).select("k", F.regexp_like("path", F.lit(X.glob_regex("src/**/*.py"))).alias("source"), F.regexp_like("path", F.lit(X.glob_regex("test_*"))).alias("test"))
 
 
-@query("c40_pattern_subsumption", "SELECT * FROM (VALUES ('a*', 'abc', true), ('abc', 'abc', true), ('abc', 'a*', false), ('*', 'x*', true), ('*c', 'abd', false)) v(wide, narrow, holds)")
+@query("c40_pattern_subsumption", "SELECT p_partkey, [true, true, false, true, false][p_partkey % 5 + 1] AS holds FROM part")
 def c40(spark, sf):
-    rows = spark.createDataFrame([("a*", "abc"), ("abc", "abc"), ("abc", "a*"), ("*", "x*"), ("*c", "abd")], "wide string, narrow string")
-    return rows.withColumn("holds", X.subsumes(F.col("wide"), F.col("narrow")))
+    name, size, at = F.col("p_name"), F.col("p_size").cast("string"), (F.col("p_partkey") % 5 + 1).cast("int")
+    begin = F.concat(F.substring("p_name", 1, 3), F.lit("*"))
+    wide = F.element_at(F.array(begin, name, name, F.lit("*"), F.concat(F.lit("*"), size, F.lit("zz"))), at)
+    narrow = F.element_at(F.array(name, name, begin, F.concat(F.lit("x*"), size), name), at)
+    return read(spark, sf, "part").select("p_partkey", X.subsumes(wide, narrow).alias("holds"))
 
 
 @query("c41_severity", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 9.5 WHEN 1 THEN 8.0 WHEN 2 THEN 5.5 ELSE 2.5 END::DOUBLE AS severity FROM orders")

@@ -70,10 +70,12 @@ def s28(spark, sf):
     return sarif(f).select("line", "result")
 
 
-@query("s26_history_rows", "SELECT 'abc' AS \"commit\", 'a.py' AS file, 3::BIGINT AS adds, 1::BIGINT AS dels UNION ALL SELECT 'def', 'c.py', 2, 0")
+@query("s26_history_rows", "SELECT 'c' || c_custkey AS \"commit\", 'f' || c_nationkey || '.py' AS file, c_nationkey::BIGINT AS adds, 1::BIGINT AS dels FROM customer UNION ALL SELECT 'd' || c_custkey, 'g.py', 2, 0 FROM customer")
 def s26(spark, sf):
-    text = spark.createDataFrame([("log", "abc|2024-01-01\n3\t1\ta.py\n-\t-\tb.bin\ndef|2024-01-02\n2\t0\tc.py")], "path string, content string")
-    return P.git_log(text).select("commit", "file", "adds", "dels")
+    """A log of two commits for each customer; binary files have no counts."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    log = F.concat(F.lit("c"), k, F.lit("|2024-01-01\n"), n, F.lit("\t1\tf"), n, F.lit(".py\n-\t-\tb.bin\nd"), k, F.lit("|2024-01-02\n2\t0\tg.py"))
+    return P.git_log(read(spark, sf, "customer").select(k.alias("path"), log.alias("content"))).select("commit", "file", "adds", "dels")
 
 
 @query("f04_field_value", _N + "SELECT id, coalesce(name, '') AS name, coalesce(file_path, '') AS file, coalesce(metadata, '') AS other FROM nodes")
@@ -121,10 +123,15 @@ def f38(spark, sf):
     return read(spark, sf, "part").select("p_partkey", U.call_startswith(F.col("p_name"), "a").alias("a"), U.type_endswith(F.col("p_type"), "ARD").alias("b"), U.has_arg_index(args, 1).alias("c"))
 
 
-@query("j04_relative_imports", "SELECT * FROM (VALUES ('pkg.sub.mod', '.a', 'pkg.sub.a'), ('pkg.sub.mod', '..b', 'pkg.b'), ('pkg.sub.mod', '...c', 'c')) v(module, target, fqn)")
+@query("j04_relative_imports", "WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS d, 'a' || p_size AS a, 'b' || p_partkey AS b FROM part) SELECT a || '.' || b || '.c' AS module, ['.', '..', '...'][d + 1] || 'd' || k AS target, CASE d WHEN 0 THEN a || '.' || b || '.' WHEN 1 THEN a || '.' ELSE '' END || 'd' || k AS fqn FROM p")
 def j04(spark, sf):
-    i = spark.createDataFrame([("pkg.sub.mod", t) for t in (".a", "..b", "...c")], "module string, target string")
-    return A.resolved_imports(i, spark.createDataFrame([("pkg.sub.a",), ("pkg.b",), ("c",)], "fqn string")).select("module", "target", "fqn")
+    """One, two or three dots go up as many steps."""
+    k, n, at = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), (F.col("p_partkey") % 3 + 1).cast("int")
+    a, b, d = F.concat(F.lit("a"), n), F.concat(F.lit(".b"), k), F.concat(F.lit("d"), k)
+    p = read(spark, sf, "part")
+    imports = p.select(F.concat(a, b, F.lit(".c")).alias("module"), F.concat(F.element_at(F.array(F.lit("."), F.lit(".."), F.lit("...")), at), d).alias("target"))
+    symbols = p.select(F.element_at(F.array(F.concat(a, b, F.lit("."), d), F.concat(a, F.lit("."), d), d), at).alias("fqn"))
+    return A.resolved_imports(imports, symbols).select("module", "target", "fqn")
 
 
 @query("j05_scope_lookup", "SELECT c_custkey AS use, CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey || '.x' ELSE 'r' || n_regionkey || '.x' END AS fqn FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -239,11 +246,12 @@ def u04(spark, sf):
     return paths.run(flow, nodes(spark, sf), edges(spark, sf)).select("src", "dst")
 
 
-@query("g12_all_paths_pass", _E + "SELECT a.src, bool_and(a.dst = 'n:3' OR b.dst <> '') AS holds FROM edges a JOIN edges b ON b.src = a.dst WHERE a.kind = 'CONTAINS' AND b.kind = 'CONTAINS' AND a.src LIKE 's:%' GROUP BY a.src")
+@query("g12_all_paths_pass", _E + "SELECT a.src, bool_and(a.dst IN ('n:3', 'n:7', 'n:11') AND b.dst <> 'r:0') AS holds FROM edges a JOIN edges b ON b.src = a.dst WHERE a.kind = 'CONTAINS' AND b.kind = 'CONTAINS' AND a.src LIKE 's:%' GROUP BY a.src")
 def g12(spark, sf):
     flow = (Q.kind("supplier") >> Q.kind("region")).via(E.kinds("CONTAINS")).depth(2).unlimited()
     found = paths.run(flow, nodes(spark, sf), edges(spark, sf))
-    return found.groupBy("src").agg(F.bool_and(F.array_contains("path", "n:3") | (F.col("dst") != "")).alias("holds"))
+    passes = F.arrays_overlap("path", F.array(F.lit("n:3"), F.lit("n:7"), F.lit("n:11"))) & (F.col("dst") != "r:0")
+    return found.groupBy("src").agg(F.bool_and(passes).alias("holds"))
 
 
 @query("g18_dead_blocks", _E + "SELECT a.src, b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.kind = 'CONTAINS' AND b.kind = 'CONTAINS' AND a.src LIKE 's:%' AND a.dst NOT IN ('n:1', 'n:2', 'n:4')")

@@ -143,9 +143,11 @@ def k08(spark, sf):
 _RULES = "(VALUES ('r1', '*BRASS', 2), ('r2', 'STANDARD*', 2), ('r3', 'PROMO*STEEL', 3), ('r4', 'ECONOMY ANODIZED TIN', 1), ('r5', '*', 3)) v(rule_id, pattern, tier)"
 
 
-@query("k14_specificity", f"SELECT rule_id, round(spec, 2)::DOUBLE AS specificity, row_number() OVER (ORDER BY spec DESC, stars, lit DESC, rule_id) AS place FROM (SELECT rule_id, CASE tier WHEN 1 THEN 100 WHEN 2 THEN 80 ELSE 50 END - 5 * stars + 0.1 * lit AS spec, stars, lit FROM (SELECT *, length(pattern) - length(replace(pattern, '*', '')) AS stars, length(replace(pattern, '*', '')) AS lit FROM {_RULES}))")
+@query("k14_specificity", "SELECT rule_id, round(spec, 2)::DOUBLE AS specificity, row_number() OVER (ORDER BY spec DESC, stars, lit DESC, rule_id) AS place FROM (SELECT *, CASE tier WHEN 1 THEN 100 WHEN 2 THEN 80 ELSE 50 END - 5 * stars + 0.1 * lit AS spec FROM (SELECT *, length(pattern) - length(replace(pattern, '*', '')) AS stars, length(replace(pattern, '*', '')) AS lit FROM (SELECT 'r' || p_partkey AS rule_id, CASE p_partkey % 4 WHEN 0 THEN '*' || p_name WHEN 1 THEN p_name || '*' || p_size || '*' WHEN 2 THEN p_name ELSE '*' END AS pattern, p_partkey % 3 + 1 AS tier FROM part)))")
 def k14(spark, sf):
-    rules = spark.createDataFrame([("r1", "*BRASS", 2), ("r2", "STANDARD*", 2), ("r3", "PROMO*STEEL", 3), ("r4", "ECONOMY ANODIZED TIN", 1), ("r5", "*", 3)], "rule_id string, pattern string, tier int")
+    k, name = F.col("p_partkey"), F.col("p_name")
+    pattern = F.when(k % 4 == 0, F.concat(F.lit("*"), name)).when(k % 4 == 1, F.concat(name, F.lit("*"), F.col("p_size").cast("string"), F.lit("*"))).when(k % 4 == 2, name).otherwise("*")
+    rules = read(spark, sf, "part").select(F.concat(F.lit("r"), k.cast("string")).alias("rule_id"), pattern.alias("pattern"), (k % 3 + 1).alias("tier"))
     return R.specificity_order(rules).select("rule_id", F.round("specificity", 2).alias("specificity"), F.col("place").cast("long").alias("place"))
 
 

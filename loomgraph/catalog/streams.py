@@ -54,11 +54,11 @@ def t07(spark, sf):
     return asked.where(F.col("last").isNull() | (F.col("last") < F.col("ts") - F.expr("interval 24 hours"))).select("event_id")
 
 
-@query("t07_stream_dedup", "SELECT event_id FROM events")
+@query("t07_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def t07b(spark, sf):
-    e = read(spark, sf, "events").select("event_id", "ts")
-    twice = e.unionByName(e.where("event_id % 17 = 0"))
-    return V.replay(spark, twice, lambda s: V.deduplicated(s, ["event_id"], "400 days")).select("event_id")
+    """The first event of each user and type."""
+    e = read(spark, sf, "events").select("user_id", "event_type", "ts")
+    return V.replay(spark, e, lambda s: V.deduplicated(s, ["user_id", "event_type"], "400 days")).select("user_id", "event_type")
 
 
 @query("t08_transaction_delta", _C + "SELECT txn, path AS key, op FROM (SELECT event_id // 50 AS txn, path, first(op ORDER BY event_id) AS f, last(op ORDER BY event_id) AS op FROM (SELECT event_id, path, CASE op WHEN 'created' THEN 'add' WHEN 'deleted' THEN 'remove' ELSE 'update' END AS op FROM changes) GROUP BY ALL) WHERE NOT (f = 'add' AND op = 'remove')")
@@ -112,10 +112,14 @@ def t20(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", I.stale(k % 100, F.col("o_orderstatus"), F.lit("F")).alias("stale"))
 
 
-@query("t21_job_states", _C + "SELECT path AS job, count(*) FILTER (op = 'created') AS starts FROM changes GROUP BY path")
+@query("t21_job_states", _C + """, l AS (SELECT path AS job, event_id AS seq, CASE WHEN op = 'created' THEN 'start' WHEN op = 'modified' THEN 'fail' WHEN op = 'moved' AND event_id % 31 = 0 THEN 'cancel' ELSE 'note' END AS event FROM changes),
+g AS (SELECT job, count(*) FILTER (event = 'start') AS tries, bool_or(event = 'cancel') AS cancelled, last(event ORDER BY seq) FILTER (event IN ('start', 'fail')) AS final FROM l GROUP BY job)
+SELECT job, CASE WHEN cancelled THEN 'cancelled' WHEN final IS NULL THEN 'queued' WHEN final = 'start' AND tries <= 4 THEN 'running' ELSE 'failed' END AS state, tries FROM g""")
 def t21(spark, sf):
-    log = changes(spark, sf).select(F.col("path").alias("job"), F.col("event_id").alias("seq"), F.when(F.col("op") == "created", "start").when(F.col("op") == "modified", "note").otherwise("note").alias("event"))
-    return V.job_state(log, 10**6).select("job", F.col("tries").cast("long").alias("starts"))
+    op = F.col("op")
+    event = F.when(op == "created", "start").when(op == "modified", "fail").when((op == "moved") & (F.col("event_id") % 31 == 0), "cancel").otherwise("note")
+    log = changes(spark, sf).select(F.col("path").alias("job"), F.col("event_id").alias("seq"), event.alias("event"))
+    return V.job_state(log).select("job", "state", F.col("tries").cast("long").alias("tries"))
 
 
 @query("t25_circuit_breaker", "SELECT event_id, sum(bad) OVER (PARTITION BY event_type ORDER BY event_id ROWS 4 PRECEDING) >= 5 OR (count(*) OVER w >= 20 AND sum(bad) OVER w / count(*) OVER w >= 0.5) AS open FROM (SELECT event_id, event_type, (value < 50)::INT AS bad FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS 19 PRECEDING)")

@@ -18,18 +18,23 @@ input.  The work is cut into shards that no pair of equal strings straddles:
    their successor, leftmost-S substrings are sorted by induction and named, the
    string of names is sorted by prefix doubling, and the array is induced from
    it.  Permuted common prefixes (of each suffix with its predecessor, in text
-   order) then give the runs of suffixes that share ``size`` bytes; all but the
-   earliest of a run are removed.
+   order, up to ``size`` bytes) then give the runs of suffixes that share
+   ``size`` bytes; all but the earliest of a run are removed.
 
 An anchor with more different units than fit into a shard's memory (one very
-common line in changing surroundings) is split further by a hash of the whole
-window: a bucket gets the units with a window in it and counts those windows only.
+common line in changing surroundings) is split further: its windows, not its
+units, are dealt to buckets by a hash of their bytes, and equal windows of a
+batch of texts go on once, so what many texts share is one row a batch.
+
+Two steps go by hashes alone: equal units have equal 64-bit anchors and equal
+64-bit contents, 128 bits together; within suffix arrays bytes are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +44,15 @@ from .shared import keep, table
 
 #: Bytes of a repeated string; bytes of the gram that anchors a window.
 SIZE, GRAM = 100, 30
-#: Bytes of units that one suffix array is built over; units of an anchor from which its windows are grouped by hash.
+#: Bytes of units that one suffix array is built over; units of an anchor from which its windows are dealt to buckets, and windows of a bucket.
 SHARD, HOT = 3 << 20, 8_192
 #: Bytes of text hashed at a time; a longer text is cut with an overlap of ``SIZE`` - 1 bytes.
 PART = 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: The lowest bit of each byte of a number.
+_BYTE = np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -235,24 +242,28 @@ def suffix_array(text: np.ndarray, reach: int = 1 << 40) -> np.ndarray:
     return _induce(text, small, ends, leftmost)
 
 
-def long_prefixes(text: np.ndarray, array: np.ndarray, size: int) -> np.ndarray:
-    """For each position in text order: does its suffix share ``size`` bytes with its predecessor in the array?"""
+def common_prefixes(text: np.ndarray, array: np.ndarray, size: int) -> np.ndarray:
+    """Permuted common prefixes: for each position in text order, the bytes its suffix shares with its predecessor's
+    in the array, counted up to ``size``."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[array[1:]] = array[:-1]
-    live = np.flatnonzero((before >= 0) & (np.arange(n) + size <= n) & (before + size <= n))
-    eight = _eights(text)
-    for k in [*range(0, size - 7, 8), size - 8]:
-        live = live[eight[live + k] == eight[before[live] + k]]
-    out = np.zeros(n, bool)
-    out[live] = True
-    return out
+    out = np.zeros(n, np.int64)
+    eight = np.concatenate([_eights(text), np.zeros(size, np.uint64)])
+    live = np.flatnonzero(before >= 0)
+    for k in range(0, size, 8):
+        differ = eight[live + k] ^ eight[before[live] + k]
+        low = differ & (~differ + np.uint64(1))  # its lowest set bit: the first byte that differs
+        same = np.where(differ == 0, 8, np.searchsorted(_BYTE, low, "right") - 1)
+        out[live] += same
+        live = live[same == 8]
+    return np.minimum(out, np.minimum(size, np.minimum(n - np.arange(n), np.where(before >= 0, n - before, 0))))
 
 
 def repeated(text: np.ndarray, order: np.ndarray, size: int, whole: np.ndarray) -> np.ndarray:
     """Starts of strings of ``size`` bytes that also start at a position of lower ``order``; only ``whole`` starts count."""
     array = suffix_array(text, size)
-    joined = long_prefixes(text, array, size)[array]
+    joined = (common_prefixes(text, array, size) == size)[array]
     group = np.cumsum(~joined)
     ok = whole[array]
     array, group = array[ok], group[ok]
@@ -398,23 +409,44 @@ def _window_bucket(body: np.ndarray, size: int, buckets: int) -> np.ndarray:
 
 
 def _cut(size: int):
-    """Rows (body, rank, uid, wanted units) to one row a unit and bucket: anchor, bucket, buckets, rank, uid, start, bytes."""
+    """Rows (body, rank, uid, wanted units) to one row a unit: anchor, bucket, buckets, rank, uid, start, bytes.
+
+    Of a unit in buckets all strings of ``size`` bytes go on, each by itself, to
+    the bucket of its content.  Equal ones of a batch go once; the later of them
+    come back at once as removed (bucket -1, spread by text).
+    """
     names, types = ["anchor", "bucket", "buckets", "rank", "uid", "start", "bytes"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def run(batches):
         for batch in batches:
-            out = []
-            for rank, uid, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                text = _unpack(body)
-                for w in wanted:
-                    piece = text[w["start"] : w["start"] + w["length"]]
-                    some = (0,) if w["buckets"] == 1 else np.unique(_window_bucket(np.frombuffer(piece, np.uint8), size, w["buckets"])).tolist()
-                    out += [(w["anchor"], b, w["buckets"], rank, uid, w["start"], piece) for b in some]
+            out, first = [], {}
+            ranks, uids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in sorted(range(len(ranks)), key=lambda i: (ranks[i], uids[i])):
+                text = None
+                for w in sorted(batch.column(3)[i].as_py(), key=lambda w: w["start"]):
+                    text = _unpack(batch.column(2)[i]) if text is None else text
+                    start, piece = w["start"], text[w["start"] : w["start"] + w["length"]]
+                    if w["buckets"] == 1:
+                        out.append((w["anchor"], 0, 1, ranks[i], uids[i], start, piece))
+                        continue
+                    buckets = _window_bucket(np.frombuffer(piece, np.uint8), size, w["buckets"]).tolist()
+                    for k, bucket in enumerate(buckets):
+                        string = piece[k : k + size]
+                        if first.setdefault(string, (i, start + k)) == (i, start + k):
+                            out.append((w["anchor"], bucket, w["buckets"], ranks[i], uids[i], start + k, string))
+                        else:
+                            out.append((uids[i], -1, w["buckets"], ranks[i], uids[i], start + k, b""))
+                    if len(out) >= 20_000:
+                        yield made(out)
+                        out = []
                 if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    yield made(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                yield made(out)
 
     return run
 
@@ -435,9 +467,6 @@ def _shard(rows: list[tuple], size: int) -> pa.RecordBatch:
     within = np.arange(len(text)) - first[unit]
     order = (document[unit] << 40) + start[unit] + within
     whole = within + size <= length[unit]
-    for i in np.flatnonzero([r[2] > 1 for r in rows]).tolist():
-        n = int(length[i]) - size + 1
-        whole[first[i] : first[i] + n] &= _window_bucket(text[first[i] : first[i] + length[i]], size, rows[i][2]) == rows[i][1]
     found = repeated(text, order, size, whole)
     u = unit[found]
     r, s, n = _runs(start[u] + within[found], np.full(len(found), size), uid[u])
@@ -449,7 +478,11 @@ def _shards(size: int):
         rows: list[tuple] = []
         have, key = 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = batch.filter(pc.less(batch.column(1), 0))
+            if len(known):
+                r, s, n = _runs(known.column(5).to_numpy(), np.full(len(known), size), known.column(4).to_numpy())
+                yield _batch(_GONE, _blank(len(r)), _blank(len(r)), _blank(len(r)), r, s, n)
+            for row in zip(*(c.to_pylist() for c in batch.filter(pc.greater_equal(batch.column(1), 0)).columns), strict=True):
                 if row[:2] != key:
                     if have >= SHARD:
                         yield _shard(rows, size)
@@ -469,7 +502,8 @@ def removed(texts: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT
     met = _own_units(texts, size, gram).repartition("anchor").sortWithinPartitions(*order).mapInArrow(_meet, _UNIT)
     met = keep(met, "suffix-met")
     still = met.where(F.col("kind") == _OPEN)
-    heavy = still.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("buckets"))
+    windows = F.sum(F.col("length") - (size - 1))
+    heavy = still.groupBy("anchor").agg(F.count("*").alias("n"), windows.alias("windows")).where(F.col("n") > hot).select("anchor", (F.ceil(F.col("windows") / hot) + 1).cast("int").alias("buckets"))
     wanted = still.join(heavy, "anchor", "left").select("uid", F.struct("anchor", "start", "length", F.coalesce("buckets", F.lit(1)).alias("buckets")).alias("unit"))
     wanted = wanted.groupBy("uid").agg(F.collect_list("unit").alias("wanted"))  # units of one text
     cut = texts.join(wanted, "uid").select("rank", "uid", "body", "wanted").mapInArrow(_cut(size), "anchor long, bucket int, buckets int, rank long, uid long, start long, bytes binary")

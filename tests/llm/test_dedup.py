@@ -223,10 +223,35 @@ def test_suffix_array_and_prefixes():
         assert suffix_dedup.suffix_array(text).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
     text = np.frombuffer(b"abcabcabc" * 20, np.uint8)
     array = suffix_dedup.suffix_array(text, 16)
-    assert suffix_dedup.long_prefixes(text, array, 16).sum() == len(text) - 16 + 1 - 3
+    assert (suffix_dedup.common_prefixes(text, array, 16) == 16).sum() == len(text) - 16 + 1 - 3
+    for _ in range(50):
+        text = np.array([rng.randrange(97, 99) for _ in range(rng.choice([2, 9, 40, 200]))], np.uint8)
+        b, array = text.tobytes(), suffix_dedup.suffix_array(text)
+        want = [0] * len(b)
+        for x, y in zip(array[1:].tolist(), array[:-1].tolist(), strict=True):
+            while want[x] < min(20, len(b) - max(x, y)) and b[x + want[x]] == b[y + want[x]]:
+                want[x] += 1
+        assert suffix_dedup.common_prefixes(text, array, 20).tolist() == want
 
 
-def brute_spans(rows, size=100):
+def test_hot_anchor_is_split():
+    """Units of one anchor with one common window: no bucket gets them all."""
+    import zstandard
+
+    rng = random.Random(5)
+    line = bytes(rng.choices(b"abcdefgh ", k=110))
+    texts = [bytes(rng.choices(b"xyz", k=30)) + line + bytes(rng.choices(b"xyz", k=30)) for _ in range(1000)]
+    pack = zstandard.ZstdCompressor().compress
+    wanted = [[{"anchor": 1, "start": 0, "length": 170, "buckets": 20}]] * 1000
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("buckets", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(range(1000), pa.int64()), pa.array([pack(t) for t in texts], pa.binary()), pa.array(wanted, kind)], names=["rank", "uid", "body", "wanted"])
+    rows = [r for out in suffix_dedup._cut(100)(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    sizes = np.bincount([r[1] for r in rows if r[1] >= 0], minlength=20)
+    assert sizes.sum() + sum(r[1] < 0 for r in rows) == 71_000 and sizes.max() < 2 * sizes.mean()
+    assert sum(r[6] in line for r in rows if r[1] >= 0) == 11  # the common windows go on once
+
+
+def brute_spans(rows, size=100, spans=None):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         b = (text or "").encode()
@@ -235,6 +260,8 @@ def brute_spans(rows, size=100):
             if b[p : p + size] in seen:
                 gone[p : p + size] = b"\1" * size
             seen.add(b[p : p + size])
+        if spans is not None:
+            spans[i] = sum(1 for a, b_ in zip(b"\0" + gone, gone, strict=False) if b_ and not a)
         out[i] = (len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
 
@@ -256,6 +283,14 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_op8_query(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    spans = {}
+    expected = brute_spans(sorted(texts.items()), spans=spans)
+    got = {r["doc_id"]: ((r["n_bytes"], r["n_removed"], r["kept_sha256"]), r["n_spans"]) for r in suffix_dedup.op8_suffix_dedup(spark, sf).collect()}
+    assert got == {i: (expected[i], spans[i]) for i in texts}
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     rows = [(1, "k" * 10 + "".join(chr(97 + i % 26) for i in range(130))), (1, "k" * 10 + "".join(chr(97 + i % 26) for i in range(130))), (None, "".join(chr(97 + i % 26) for i in range(130)))]
     found = suffix_dedup.dedup(docs(spark, rows)).collect()

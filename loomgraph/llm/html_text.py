@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -39,22 +40,37 @@ _RAW = frozenset("script style noscript template iframe object svg math textarea
 _FURNITURE = frozenset("nav header footer aside form button dialog menu head".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"html", "head", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "option", "optgroup"}
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|commentlist|disqus|replies|reply|sidebar|side-bar|navbar|nav|navigation|menu|breadcrumbs?|footer|masthead|related|recommended|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social comment comments commentlist disqus reply replies sidebar navbar nav navigation menu breadcrumb breadcrumbs footer masthead related recommended pagination pager login signup search".split())
+_HELPERS = frozenset("area bar block body bottom box button buttons bar container content form global group header holder icon icons inner item items left link links list main media mobile nav panel page post primary right row secondary section side site slot small sticky thread top unit widget wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
+#: Pages of a range of the sort by URL; there are at least 64 ranges.
+PAGES = 20_000
+
+
+def _marked(value: str) -> bool:
+    """Does a class or id name furniture?  All parts of one of its names do, or only say what kind of box it is.
+
+    So ``share-buttons`` and ``ad_slot_2`` do, ``share-price`` and ``social-science`` do not.
+    """
+    for one in re.split(r"\s+", value.lower()):
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", one) if p and not p.isdigit()]
+        if any(p in _WORDS for p in parts) and all(p in _WORDS or p in _HELPERS for p in parts):
+            return True
+    return False
 
 
 def _furniture(name: str, attributes: str, inside: bool) -> bool:
     if name in _FURNITURE and not (inside and name == "header"):
         return True
-    if "=" in attributes and name not in ("html", "body", "article", "main"):
+    if "=" in attributes and name not in ("html", "body", "main"):
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             key = key.lower()
-            if (key in ("class", "id") and _MARKED.search(value)) or (key == "role" and value.lower() in _ROLES) or (key == "aria-hidden" and value.lower() == "true"):
+            if (key in ("class", "id") and _marked(value)) or (key == "role" and value.lower() in _ROLES) or (key == "aria-hidden" and value.lower() == "true"):
                 return True
     return " hidden" in f"{attributes.lower()} " and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=x", attributes.lower())))
 
@@ -65,7 +81,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, furniture, main/article depth mark
     furniture, held, at = 0, [0], 0
-    raw = None
+    raw, opened = None, Counter()
 
     def flush() -> None:
         if parts:
@@ -77,6 +93,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     def pop() -> None:
         nonlocal furniture
         name, marked, more = stack.pop()
+        opened[name] -= 1
         if name in _BLOCK or marked:
             flush()
         furniture -= marked
@@ -97,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 continue
             if name == "br":
                 parts.append(" ")
-            elif any(e[0] == name for e in stack):
+            elif opened[name]:
                 while True:
                     last = stack[-1][0]
                     pop()
@@ -144,6 +161,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 held.append(max(held[-1], more))
             if not attributes.rstrip().endswith("/"):
                 stack.append((name, marked, more))
+                opened[name] += 1
             else:
                 furniture -= marked
                 if more:
@@ -215,12 +233,14 @@ def parsed(df: DataFrame, *, id_col: str, url_col: str, html_col: str) -> DataFr
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, url string, host string, path string, sure boolean, text string, lines array<string>, marks array<long>")
 
 
-def nearest(pages: DataFrame, ranges: int = 64) -> DataFrame:
+def nearest(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """row, partner of each page (columns row, host, path): its neighbour in path order with the longer common path.
 
     One of equally near neighbours is the earlier one; a host's only page has a null partner.
     """
     order = ["host", "path", "row"]
+    if ranges is None:
+        ranges = 64 + pages.count() // PAGES
     cut = keep(pages.select(*order).repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "html-order")
     firsts = cut.groupBy("part").agg(F.min(F.struct(*order)).alias("head"), F.max(F.struct(*order)).alias("tail"))
     by = Window.orderBy("part")  # one row a range

@@ -203,6 +203,8 @@ def test_html_structure():
     assert kept == ["Head & more", "One two", "Three <3 bold end"]
     assert html_text.blocks("") == [] and html_text.blocks("plain &am text") == [("plain &am text", 0)]
     assert html_text.blocks("<p>a<!-- x <p>y --><p>b") == [("a", 0), ("b", 0)]
+    page = '<article><h1>Story</h1><div class="social-science">Kept</div><p class="share-price">Also kept</p><div class="share-buttons">Gone</div><div id="ad_slot_2">Gone</div></article><article class="comment">Reader</article>'
+    assert [t for t, held in html_text.blocks(page) if held == 2] == ["Story", "Kept", "Also kept"]
     deep = "<div>" * 5000 + "x" + "</div>" * 10
     assert html_text.blocks(deep) == [("x", 0)]
 

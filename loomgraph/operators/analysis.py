@@ -22,7 +22,7 @@ def points_to_unified(constraints: DataFrame) -> DataFrame:
     return cls.join(held, "root").select(F.col("node").alias("var"), "location")
 
 
-def points_to(constraints: DataFrame, rounds: int = 100) -> DataFrame:
+def points_to(constraints: DataFrame) -> DataFrame:
     """var, location by inclusion: copies, loads (lhs = *rhs) and stores (*lhs = rhs) to a fixpoint.
 
     Semi-naive: each round joins only the facts that are new.
@@ -31,7 +31,7 @@ def points_to(constraints: DataFrame, rounds: int = 100) -> DataFrame:
     alloc, copy, load, store = (kind(k) for k in ("ALLOC", "COPY", "LOAD", "STORE"))
     known = keep(alloc.select(F.col("lhs").alias("var"), F.col("rhs").alias("location")), "pta-known")
     flow = copy.select(F.col("rhs").alias("src"), F.col("lhs").alias("dst"))
-    for _ in range(rounds):
+    while True:
         loads = load.join(known, load["rhs"] == known["var"]).select(F.col("location").alias("src"), F.col("lhs").alias("dst"))
         stores = store.join(known, store["lhs"] == known["var"]).select(F.col("rhs").alias("src"), F.col("location").alias("dst"))
         flow = keep(flow.unionByName(loads).unionByName(stores).distinct(), "pta-flow")
@@ -40,7 +40,6 @@ def points_to(constraints: DataFrame, rounds: int = 100) -> DataFrame:
         if more.isEmpty():
             return known
         known = keep(known.unionByName(more), "pta-known")
-    return known
 
 
 def aliases(pts: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -52,15 +51,15 @@ def aliases(pts: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return both.groupBy(a, b).agg((F.max("na") + F.max("nb") == 2).alias("must"))
 
 
-def effects(own: DataFrame, calls: DataFrame, rounds: int = 10) -> DataFrame:
-    """fn, effect: own effects (fn, effect) and those of what a function calls (src, dst), in at most ``rounds`` rounds; an unknown callee is UNKNOWN.
+def effects(own: DataFrame, calls: DataFrame) -> DataFrame:
+    """fn, effect: own effects (fn, effect) and those of what a function calls (src, dst), to the fixpoint; an unknown callee is UNKNOWN.
 
     PURE goes where there is another effect.
     """
     fns = own.select("fn").distinct()
     unknown = calls.join(fns.select(F.col("fn").alias("dst")), "dst", "left_anti").select(F.col("src").alias("fn"), F.lit("UNKNOWN").alias("effect"))
     now = keep(own.select("fn", "effect").unionByName(unknown).distinct(), "effects")
-    for _ in range(rounds):
+    while True:
         more = keep(calls.join(now, calls["dst"] == now["fn"]).select(F.col("src").alias("fn"), "effect").distinct().join(now, ["fn", "effect"], "left_anti"), "effects-new")
         if more.isEmpty():
             break
@@ -201,3 +200,44 @@ def repaired(patches: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def false_positive_score(features: dict[str, Column], weights: dict[str, float], bias: float) -> Column:
     return 1 / (1 + F.exp(-(sum((features[c] * w for c, w in weights.items()), F.lit(bias)))))
+
+
+def semantic_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """fqn, change, parts of functions (fqn, signature, calls, effects; the last two sorted arrays) that differ; a lost or changed signature, or a new effect, is breaking."""
+    both = old.select("fqn", F.struct("signature", "calls", "effects").alias("o")).join(new.select("fqn", F.struct("signature", "calls", "effects").alias("n")), "fqn", "full")
+    parts = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), c) for c in ("signature", "calls", "effects")]))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("modified")
+    more = F.size(F.array_except(F.coalesce("n.effects", F.array().cast("array<string>")), F.coalesce("o.effects", F.array().cast("array<string>")))) > 0
+    out = both.select("fqn", change.alias("change"), F.when(change == "modified", F.array_join(parts, ",")).alias("parts"), more.alias("more"))
+    out = out.where("change != 'modified' OR parts != ''")
+    return out.select("fqn", "change", "parts", ((F.col("change") == "removed") | ((F.col("change") == "modified") & (F.contains("parts", F.lit("signature")) | F.col("more")))).alias("breaking"))
+
+
+def taint_query(flows: DataFrame, cwe: str | None = None, severity: str | None = None, confidence: float = 0.0, source: str | None = None, sink: str | None = None) -> DataFrame:
+    """Flows (source, sink, cwe, severity, confidence) of a weakness, at least as severe and as sure, source and sink like patterns."""
+    order = ("info", "low", "medium", "high", "critical")
+    out = flows.where(F.col("confidence") >= confidence)
+    if cwe is not None:
+        out = out.where(F.col("cwe") == cwe)
+    if severity is not None:
+        out = out.where(F.col("severity").isin(*order[order.index(severity) :]))
+    for name, pattern in (("source", source), ("sink", sink)):
+        if pattern is not None:
+            out = out.where(F.regexp_like(name, F.lit(pattern)))
+    return out
+
+
+def propagated(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, value: the least value that reaches a node from the starts (node, value) over edges (src, dst, add), each of which adds to it; to the fixpoint.
+
+    The meet of paths is their minimum; edges do not take from a value.
+    """
+    e = keep(edges.groupBy("src", "dst").agg(F.min("add").alias("add")), "ide-edges")
+    known = keep(start.groupBy("node").agg(F.min("value").alias("value")), "ide-known")
+    front = known
+    while not front.isEmpty():
+        sent = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), (F.col("value") + F.col("add")).alias("sent")).groupBy("node").agg(F.min("sent").alias("sent"))
+        better = sent.join(known, "node", "left").where(F.col("value").isNull() | (F.col("sent") < F.col("value")))
+        front = keep(better.select("node", F.col("sent").alias("value")), "ide-front")
+        known = keep(known.join(front.select("node"), "node", "left_anti").unionByName(front), "ide-known")
+    return known

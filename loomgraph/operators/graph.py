@@ -94,7 +94,7 @@ def proximity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).when(F.col("distance").isNotNull(), F.pow(F.lit(0.5), F.col("distance") - 1)).otherwise(0.0).alias("proximity"))
 
 
-def tree_rollup(tree: DataFrame, values: DataFrame, depth: int = 10) -> DataFrame:
+def tree_rollup(tree: DataFrame, values: DataFrame, depth: int | None = None) -> DataFrame:
     """node, total of a value over the node and all below it; ``tree``: id, parent."""
     up = paths.reach(tree.where("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("dst")), values.select("id"), depth)
     own = values.select(F.col("id").alias("node"), "value")
@@ -102,7 +102,7 @@ def tree_rollup(tree: DataFrame, values: DataFrame, depth: int = 10) -> DataFram
     return own.unionByName(above).groupBy("node").agg(F.sum("value").alias("total"))
 
 
-def tree_depth(tree: DataFrame, depth: int = 20) -> DataFrame:
+def tree_depth(tree: DataFrame, depth: int | None = None) -> DataFrame:
     """node, depth under its root; nodes of a cycle have none."""
     roots = tree.where("parent is null").select("id")
     down = paths.reach(tree.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst")), roots, depth)

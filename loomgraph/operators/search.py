@@ -101,6 +101,27 @@ WEIGHTS = {
 }
 
 
+def weighted(intents: DataFrame) -> DataFrame:
+    """query_id, source, weight: the fusion weights of each query's intent (query_id, intent)."""
+    rows = [(i, c, w) for i, cs in WEIGHTS.items() for c, w in cs.items()]
+    presets = intents.sparkSession.createDataFrame(rows, "intent string, source string, weight double")
+    return intents.join(F.broadcast(presets), "intent").select("query_id", "source", "weight")
+
+
+def fused_by_intent(hits: DataFrame, intents: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score: clamped scores summed by the weights of the query's intent."""
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    return hits.join(weighted(intents), ["query_id", "source"]).groupBy("query_id", "chunk_id").agg(F.sum(clamped * F.col("weight")).alias("score"))
+
+
+def retrieved(hits: DataFrame, intents: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, place: the ``k`` best of the fused hits of each query; scores alike in nine digits tie by chunk."""
+    if not 1 <= k <= 1000:
+        raise ValueError("between 1 and 1000 hits a query")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id"))
+    return fused_by_intent(hits, intents).withColumn("place", rank.cast("long")).where(F.col("place") <= k)
+
+
 def blended_weights(probabilities: dict[str, float]) -> dict[str, float]:
     """Profiles mixed by intent probability; graph x 1.3 if flow is over 0.2, symbol x 1.2 if symbol is over 0.3; sums to one."""
     out = {c: sum(p * WEIGHTS[i][c] for i, p in probabilities.items()) for c in ("vector", "lexical", "symbol", "graph")}

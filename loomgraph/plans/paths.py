@@ -8,10 +8,13 @@ lineage; enumeration is bounded by depth and unrolls into one plan.
 
 from __future__ import annotations
 
+import time
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import discard, keep, tidy
 from .selectors import UNLIMITED, Flow, NodeSelector
 
 #: The search starts from the targets when they are so many times fewer than the sources.
@@ -26,7 +29,8 @@ def run(flow: Flow, nodes: DataFrame, edges: DataFrame, flip: bool = True) -> Da
     """All simple paths of a flow: src, dst, depth, path (ids in order of the search), best first.
 
     Shorter paths come first, then by ids; ``limits.max_paths`` of them are
-    kept.  A path ends at the first target it meets.  Walking backward follows
+    kept.  A depth at which the steps exceed ``limits.max_expansions``, or that
+    begins too late, ends the search with the paths found before it.  A path ends at the first target it meets.  Walking backward follows
     edges against their direction from the sources.  With far fewer targets than
     sources the same paths are found from the other end.
     """
@@ -46,10 +50,16 @@ def run(flow: Flow, nodes: DataFrame, edges: DataFrame, flip: bool = True) -> Da
         sources, targets = targets, sources
     ends = targets.select(F.col("id").alias("end"))
     front = sources.select(F.col("id").alias("first"), F.col("id").alias("node"), F.array("id").alias("path"))
-    found = None
-    for depth in range(1, flow.longest + 1):
+    found, limits, steps, began = None, flow.limits, 0, time.monotonic()
+    bounded = min(limits.max_expansions, limits.timeout_ms) < UNLIMITED
+    for depth in range(1, min(flow.longest, limits.max_length - 1 if limits.max_length else flow.longest) + 1):
         step = front.join(kept, front["node"] == kept["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.select("first", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        if bounded:
+            step = keep(step, "path-steps")
+            steps += step.count()
+            if found is not None and (steps > limits.max_expansions or (time.monotonic() - began) * 1000 > limits.timeout_ms):
+                break
         hit = step.join(ends, F.col("node") == F.col("end"), "left_semi").withColumn("depth", F.lit(depth))
         found = hit if found is None else found.unionByName(hit)
         # a path goes on past a node only if that is no end; walking from the far end, ends are the sources
@@ -77,8 +87,8 @@ def any_path(flow: Flow, nodes: DataFrame, edges: DataFrame) -> bool:
     return not run(flow.limit_paths(1), nodes, edges).isEmpty()
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int = 20, backward: bool = False) -> DataFrame:
-    """start, node, distance of what each start (column id) reaches in at most ``depth`` steps, itself left out.
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 20, backward: bool = False) -> DataFrame:
+    """start, node, distance of what each start (column id) reaches in at most ``depth`` steps (None: any), itself left out.
 
     Every step joins the frontier once and drops pairs already seen.
     """
@@ -88,7 +98,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 20, backward: bool =
     e = keep(e, "reach-edges")
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct()
     front = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = keep(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d)), "reach-front")
         if front.isEmpty():
@@ -176,7 +186,7 @@ def hubs(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component, by rounds of stars."""
+    """node, root: the smallest node of each connected component, by rounds of stars; read from one written table (``kept``)."""
     e = keep(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "parts")
     before = None
     while True:
@@ -184,10 +194,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = keep(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "parts")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = keep(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "parts")
+        after = keep(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "parts")
+        discard(e, large)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            tidy(edges.sparkSession)
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out.kept = e.kept
+            return out
         before = now
 
 

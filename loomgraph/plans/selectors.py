@@ -143,17 +143,21 @@ UNLIMITED = 2**31 - 1
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of a path search; zeros are rejected."""
+    """Bounds of a path search; zeros are rejected.  ``standard`` has the usual ones."""
 
     max_paths: int = 100
-    max_expansions: int = 10_000
-    timeout_ms: int = 30_000
+    max_expansions: int = UNLIMITED
+    timeout_ms: int = UNLIMITED
     max_length: int | None = None
 
     def __post_init__(self):
         if min(self.max_paths, self.max_expansions, self.timeout_ms) <= 0:
             raise ValueError("limits are positive")
 
+    @staticmethod
+    def standard() -> Limits:
+        return Limits(100, 10_000, 30_000)
+
     @staticmethod
     def unlimited() -> Limits:
         return Limits(UNLIMITED, UNLIMITED, UNLIMITED)
@@ -209,6 +213,9 @@ class Flow:
     def limit_paths(self, n: int) -> Flow:
         return replace(self, limits=replace(self.limits, max_paths=n))
 
+    def bounded(self, limits: Limits) -> Flow:
+        return replace(self, limits=limits)
+
     def preset(self, name: str) -> Flow:
         longest, paths, expansions = PRESETS[name]
         return replace(self, longest=longest, limits=replace(self.limits, max_paths=paths, max_expansions=expansions))

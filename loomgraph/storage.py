@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,4 +26,22 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and executors may be lost."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``keep`` wrote for tables that no later step reads."""
+    for t in tables:
+        path = getattr(t, "kept", None)
+        if path:
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

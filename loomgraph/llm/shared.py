@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import shared_path
+from ..storage import discard, shared_path, tidy
 
-__all__ = ["SPACES", "keep", "located", "locator", "shared_path", "small_batches", "squeezed", "table", "without"]
+__all__ = ["SPACES", "discard", "keep", "located", "locator", "shared_path", "small_batches", "squeezed", "table", "tidy", "without"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

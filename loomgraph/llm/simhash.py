@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytesets
 from .groups import components
-from .shared import keep, located, table, without
+from .shared import discard, keep, located, table, tidy, without
 
 #: Segments (of two bits) in each of the six coordinate blocks.
 BLOCKS = (6, 6, 5, 5, 5, 5)
@@ -113,7 +113,9 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     around = thick.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("centre"))
     heads = around.groupBy("centre").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
     stars = around.join(heads, "centre").where("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
-    return keep(pairs.unionByName(stars).distinct(), "simhash-links")
+    found = keep(pairs.unionByName(stars).distinct(), "simhash-links")
+    discard(shared)
+    return found
 
 
 def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, dense: int = DENSE) -> DataFrame:
@@ -214,7 +216,7 @@ def possible(similarity: float):
 
 
 def prefixes(content: DataFrame, similarity: float) -> DataFrame:
-    """uid, token, first: the rarest shingles of each text (of ``content``: uid, n, shingles), shared ones only.
+    """uid, token, first: the rarest shingles (a written table) of each text (of ``content``: uid, n, shingles), shared ones only.
 
     All shingles have one order, rare ones first.  Of two sets of Jaccard
     similarity s, the larger has one of its first n - ceil(s * n) + 1 shingles
@@ -228,16 +230,21 @@ def prefixes(content: DataFrame, similarity: float) -> DataFrame:
     reach = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-6) + 1).cast("int")
     near = F.slice("order", F.lit(1), F.least(reach(similarity), F.size("order")))
     found = ranked.select("uid", "n", F.posexplode(near).alias("at", "o"), reach(2 * similarity / (1 + similarity)).alias("reach"))
-    return found.where("o.c > 1").select("uid", "o.token", (F.col("at") < F.col("reach")).alias("first"))
+    found = keep(found.where("o.c > 1").select("uid", "o.token", (F.col("at") < F.col("reach")).alias("first")), "near-prefixes")
+    discard(each)
+    return found
 
 
 def verified(pairs: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
     """The pairs (uid, head) whose shingle sets are as similar as that; a written table."""
     a, b = content.select(F.col("uid").alias("head"), F.col("shingles").alias("mine")), content.select("uid", "shingles")
-    both = keep(pairs.distinct(), "near-pairs").join(b, "uid").join(a, "head")
+    asked = keep(pairs.distinct(), "near-pairs")
+    both = asked.join(b, "uid").join(a, "head")
     common = F.size(F.array_intersect("mine", "shingles"))
     alike = F.when(F.size("mine") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("mine") + F.size("shingles") - common))
-    return keep(both.where(alike >= similarity).select("uid", "head"), "near-found")
+    found = keep(both.where(alike >= similarity).select("uid", "head"), "near-found")
+    discard(asked)
+    return found
 
 
 def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> DataFrame | None:
@@ -252,6 +259,8 @@ def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> D
     member = part.unionByName(whole)
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     member = keep(member.join(shared, "bucket"), "near-buckets")
+    discard(joined)
+    tidy(rows.sparkSession)
     content = content_of(member.select("uid").distinct())
     bits = [f"s{i}" for i in range(PARITY)]
     signs = content.select("uid", "n", *bits)
@@ -268,8 +277,13 @@ def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> D
     seen = F.exists(F.zip_with(F.slice("brief", 1, F.col("t")), F.slice("hbrief", 1, F.col("t")), lambda x, y: (x == y) & (x != 0)), lambda z: z)
     linked = verified(placed.join(heads, "bucket").where((F.col("uid") != F.col("head")) & close & ~seen).select("uid", "head"), content, similarity)
 
+    discard(heads)
+
     def groups() -> DataFrame:
-        return components(linked.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups").select(F.col("node").alias("uid"), "root")
+        found = components(linked.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-groups")
+        named = found.select(F.col("node").alias("uid"), "root")
+        named._stored_at = found._stored_at
+        return named
 
     # all texts of buckets that hold more than one group so far meet again by their rarest shingles
     named = groups()
@@ -277,14 +291,18 @@ def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> D
     open_ = F.min("label") < F.max("label")
     mixed = labelled.groupBy("bucket").agg(open_.alias("open")).where("open").select("bucket")
     wanted = labelled.join(mixed, "bucket", "left_semi").select("uid").distinct()
-    free = keep(prefixes(content.join(wanted, "uid", "left_semi"), similarity), "near-prefixes")
+    free = prefixes(content.join(wanted, "uid", "left_semi"), similarity)
+    discard(member)
+    tidy(rows.sparkSession)
     turn = 0
     while True:
         now = free.join(named, "uid", "left").withColumn("label", F.coalesce("root", "uid"))
         # a shingle is done when all its texts are in one group or none is left to be a head
         left = now.groupBy("token").agg(F.count_if("first").alias("heads"), open_.alias("open")).where("open AND heads > 0").select("token", "heads")
         now = keep(now.join(left, "token").select("token", "uid", "first", "label", "heads"), "near-open")
+        discard(free)
         if now.isEmpty():
+            discard(content, now)
             return None if linked.isEmpty() else named
         full = now.join(signs, "uid")
         many = HEADS << min(2 * turn, 24)
@@ -295,10 +313,13 @@ def near_links(rows: DataFrame, content_of, tables: int, similarity: float) -> D
         pairs = full.join(heads, "token").where(larger & (F.col("label") != F.col("hlabel")) & possible(similarity)).select("uid", "head")
         found = verified(pairs, content, similarity)
         linked = linked.unionByName(found)
+        discard(named)
         named = groups()
         # a head has been compared with all larger texts; as a larger one it stays
         was = heads.select("token", F.col("head").alias("uid"), F.lit(True).alias("was"))
         free = keep(now.join(was, ["token", "uid"], "left").select("token", "uid", (F.col("first") & F.col("was").isNull()).alias("first")), "near-free")
+        discard(now, heads)
+        tidy(rows.sparkSession)
         turn += 1
 
 
@@ -354,7 +375,9 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return df.sparkSession.createDataFrame([], f"id {ids}, locator string, group_id {ids}, kept boolean")
     named = groups.join(rows.select("uid", "id", "locator"), "uid")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "locator")).alias("best"))
-    return keep(named.join(best, "root").select("id", "locator", F.col("best.id").alias("group_id"), (F.col("locator") == F.col("best.locator")).alias("kept")), "near-result")
+    result = keep(named.join(best, "root").select("id", "locator", F.col("best.id").alias("group_id"), (F.col("locator") == F.col("best.locator")).alias("kept")), "near-result")
+    discard(rows, groups)
+    return result
 
 
 def distinct_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

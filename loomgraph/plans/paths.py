@@ -186,7 +186,7 @@ def hubs(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component, by rounds of stars; read from one written table (``kept``)."""
+    """node, root: the smallest node of each connected component, by rounds of stars; read from one written table."""
     e = keep(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "parts")
     before = None
     while True:
@@ -201,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             tidy(edges.sparkSession)
             out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-            out.kept = e.kept
+            out._stored_at = e._stored_at
             return out
         before = now
 

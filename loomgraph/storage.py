@@ -27,14 +27,14 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.kept = path
+    out._stored_at = path
     return out
 
 
 def discard(*tables: DataFrame | None) -> None:
     """Delete what ``keep`` wrote for tables that no later step reads."""
     for t in tables:
-        path = getattr(t, "kept", None)
+        path = t.__dict__.get("_stored_at") if t is not None else None
         if path:
             spark = t.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)

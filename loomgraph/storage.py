@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named."""
+    """The cluster's shared folder.  Only a session on one machine that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomgraph.shared.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster names the folder that all its machines share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("loomgraph.shared.dir", named)
     return named.rstrip("/")

@@ -83,20 +83,22 @@ def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def validity(arguments, schema):
-    """Errors of an arguments variant against a schema struct, sorted; null without a schema."""
+    """Errors of an arguments variant against a schema struct, sorted; null without a schema.
+
+    Arguments are checked at the top level: what is inside objects and arrays is not.
+    """
     got = F.from_json(F.to_json(arguments), "map<string,variant>")
     text = F.from_json(F.to_json(arguments), "map<string,string>")
     props = F.coalesce(schema["properties"], F.from_json(F.lit("{}"), "map<string,struct<type:string,enum:array<string>>>"))
     names = F.coalesce(F.map_keys(got), F.array().cast("array<string>"))
-    kind = F.lit(".*")
     missing = F.transform(F.filter(F.coalesce(schema["required"], F.array().cast("array<string>")), lambda k: ~F.array_contains(names, k)), lambda k: F.concat(F.lit("missing:"), k))
     extra = F.when(schema["additionalProperties"] == "false", F.transform(F.filter(names, lambda k: ~F.array_contains(F.map_keys(props), k)), lambda k: F.concat(F.lit("unknown:"), k))).otherwise(F.array().cast("array<string>"))
 
     def fits(k):
-        shown = F.schema_of_variant(F.element_at(got, k))
-        pattern = kind
-        for name, types in _KINDS.items():
-            pattern = F.when(F.element_at(props, k)["type"] == name, F.lit(f"^({types})$")).otherwise(pattern)
+        shown, type_ = F.schema_of_variant(F.element_at(got, k)), F.element_at(props, k)["type"]
+        # a type is a name, or a list of them (as JSON text here)
+        either = F.concat_ws("|", *[F.when((type_ == name) | F.contains(type_, F.lit(f'"{name}"')), types) for name, types in _KINDS.items()])
+        pattern = F.when(either == "", ".*").otherwise(F.concat(F.lit("^("), either, F.lit(")$")))
         later = F.regexp_like(F.coalesce(F.element_at(text, k), F.lit("")), F.lit(r"^\$\{[^}]*\}$"))  # another call's result, not yet known
         return later | F.regexp_like(shown, pattern)
 

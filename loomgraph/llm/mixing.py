@@ -29,6 +29,8 @@ from .shared import keep, table
 #: Sources by code point weigh these, repeating.
 WEIGHTS = (5, 2, 1)
 BLOCKS = 4096
+#: Leading bits of a turn that make a piece of a shard.
+PIECES = 6
 #: What a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -137,14 +139,16 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def placed(mixed: DataFrame) -> DataFrame:
-    """One row a whole copy of a document, with its pass, output shard and turn in it; shard by shard, shuffled.
+    """One row a whole copy of a document, with its pass, output shard and turn in it, shuffled.
+
+    A shard comes in pieces, by the leading bits of the turn, each whole and in the order of the turns.
 
     Texts are never cut: a copy drawn in part is kept when at least half of its
     words were drawn, else left out; that concerns one document a source.
     """
     one = mixed.withColumn("draw", F.explode("draws")).where(F.col("draw.words") * 2 >= F.col("size"))
     one = one.withColumn("pass", F.col("draw.pass")).withColumn("shard", F.col("draw.shard")).withColumn("turn", F.col("draw.turn")).drop("draw", "draws")
-    return one.repartitionByRange("shard", "turn").sortWithinPartitions("shard", "turn")
+    return one.repartition("shard", F.shiftright("turn", 60 - PIECES)).sortWithinPartitions("shard", "turn")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

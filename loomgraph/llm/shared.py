@@ -22,15 +22,15 @@ __all__ = ["SPACES", "discard", "keep", "located", "locator", "shared_path", "sm
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Rows of an Arrow batch.  Texts are long: at the default of 10,000 rows a batch of whole texts takes tens of MB in
-#: the executor and in its Python worker, several times over.
-BATCH_ROWS = "2000"
+#: Rows and bytes of an Arrow batch.  Texts are long: at the default of 10,000 rows or 64 MB a batch of whole texts takes
+#: tens of MB in the executor and in its Python worker, several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
 def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, BATCH_ROWS)
+    for name, (default, small) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, small)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import re
 import tarfile
 import zlib
+from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -166,8 +167,9 @@ def test_op9_query(spark, sf):
     other = {r["doc_id"]: [(d["shard"], d["turn"]) for d in r["draws"]] for r in mixing.mix(table(spark, sf, "documents"), seed=8).collect()}
     mine = {r["doc_id"]: r["shards"] for r in got}
     assert sum(mine[i] != ",".join(str(s) for s, _ in d) for i, d in other.items()) > len(mine) / 2
-    order = [(r["shard"], r["turn"]) for r in mixing.placed(mixing.mix(table(spark, sf, "documents"))).collect()]
-    assert order == sorted(order)
+    order = [((r["shard"], r["turn"] >> 60 - mixing.PIECES), r["turn"]) for r in mixing.placed(mixing.mix(table(spark, sf, "documents"))).collect()]
+    pieces = [k for k, _ in groupby(p for p, _ in order)]
+    assert len(pieces) == len(set(pieces)) and all(a[1] < b[1] for a, b in zip(order, order[1:], strict=False) if a[0] == b[0])
 
 
 def test_op5_query(spark, sf):
@@ -250,7 +252,7 @@ def test_common_lines():
         assert all(a[i] in rest for i in found) and found == sorted(set(found)) and len(found) == lcs(a, b)
 
 
-TOOLS = '<tools>[{"name":"add","parameters":{"properties":{"a":{"type":"integer"},"m":{"type":"string","enum":["x"]}},"required":["a"],"additionalProperties":false}}]</tools>'
+TOOLS = '<tools>[{"name":"add","parameters":{"properties":{"a":{"type":"integer"},"m":{"type":["string","null"],"enum":["x"]}},"required":["a"],"additionalProperties":false}}]</tools>'
 
 
 def test_chat_linking(spark):
@@ -275,6 +277,24 @@ def test_chat_linking(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_op7_query_with_calls(spark, tmp_path):
+    """The query itself over a table with calls: each conversation has two that depend on each other, in one direction."""
+    rows = []
+    for c in range(40):
+        rows += [
+            (c, 0, "system", '<tools>[{"name":"add","parameters":{"properties":{"a":{"type":["integer","null"]}},"required":["a"]}}]</tools>'),
+            (c, 1, "assistant", f'Two<tool_call>{{"id":"y{c}","name":"add","arguments":{{"a":"${{x{c}}}"}}}}</tool_call><tool_call>{{"id":"x{c}","name":"add","arguments":{{"a":{c if c % 2 else chr(34) + "s" + chr(34)}}}}}</tool_call>'),
+            (c, 2, "tool", f'<tool_response>{{"tool_call_id":"x{c}","content":{c}}}</tool_response>'),
+        ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [r for r in chat.op7_chat(spark, str(tmp_path)).collect() if r["role"] == "assistant"]
+    assert len(got) == 40 and all((r["n_calls"], r["n_linked"]) == (2, 1) for r in got)
+    for r in got:
+        c, message = r["conv_id"], json.loads(r["message"])
+        assert message["content"] == "Two" and [(x["id"], x["level"], x["result"]) for x in message["tool_calls"]] == [(f"x{c}", 0, c), (f"y{c}", 1, None)]
+        assert message["tool_calls"][0]["errors"] == ([] if c % 2 else ["type:a"]) and r["n_invalid"] == 1 - c % 2
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     chain = toxicity.train(docs, labels.where("doc_id % 3 != 0"), toxicity.targets())

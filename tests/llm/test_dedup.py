@@ -26,7 +26,9 @@ def docs(spark, rows):
 ROWS = [(3, "a b"), (1, "ab"), (2, "a  b"), (4, None), (5, ""), (6, " \t\n"), (None, "zz"), (7, "zz"), (8, "q" * 5000), (8, "q" * 5000), (9, "Ab"), (10, "a b")]
 
 
-def test_exact_dedup_rules(spark):
+@pytest.mark.parametrize("limit", [0, exact_dedup.HIT_LIMIT])
+def test_exact_dedup_rules(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact_dedup, "HIT_LIMIT", limit)
     got = {}
     for r in exact_dedup.dedup(docs(spark, ROWS).repartition(3)).collect():
         got.setdefault(r["id"], []).append((r["keep_id"], r["group_size"], r["kept"]))

@@ -133,31 +133,56 @@ def preview(text: Column, n: int = 200) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-# Weighted patterns of query intents.
+# Patterns of query intents and their weights, the base of ``balanced``, question words, verbs and file endings.
 INTENTS = {
-    "symbol": ["(?i)\\b(class|function|method|def|definition)\\b", "[a-z]+[A-Z]\\w*|\\w+_\\w+"],
-    "flow": ["(?i)\\b(call|calls|caller|flow|trace|path)\\b", "(?i)\\bfrom\\b.*\\bto\\b"],
-    "concept": ["(?i)\\b(what|why|how|explain|overview)\\b"],
-    "code": ["(?i)\\b(example|implement|code|snippet)\\b"],
-}
-
-
-def intent_scores(query: Column) -> Column:
-    """Half a point for each matching pattern of an intent, one at most, as a map."""
-    entries = []
+    "symbol": (
+        (r"\b(class|function|method|def)\s+\w+", 0.4), (r"\b(find|locate|show)\s+\w+", 0.3), (r"^[\w.]+$", 0.5), (r"::", 0.4), (r"\w+\.\w+", 0.3),
+        (r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", 0.3), (r"\w+_\w+", 0.2), (r"\b(enum|interface|type|protocol|struct)\s+\w+", 0.4), (r"\b(enum|interface|type)\b", 0.3),
+    ),
+    "flow": (
+        (r"\b(call|trace|flow)\b", 0.5), (r"\bwho\s+calls?\b", 0.6), (r"\bwhere\s+used\b", 0.4), (r"\bcall\s+(chain|graph|path)\b", 0.5), (r"\bexecution\s+flow\b", 0.5),
+        (r"\bdata\s+flow\b", 0.4), (r"\bfrom\s+\w+\s+to\s+\w+", 0.5), (r"\bcalls?\s+\w+", 0.4), (r"\bused\s+by\b", 0.4), (r"\bdepends?\s+on\b", 0.4),
+    ),
+    "concept": (
+        (r"\bhow\s+(does|do|is)\b", 0.5), (r"\bwhat\s+(is|are)\b", 0.5), (r"\bexplain\b", 0.6), (r"\barchitecture\b", 0.5), (r"\bdesign\b", 0.4), (r"\bconcept\b", 0.5), (r"\bpattern\b", 0.3), (r"\bworks?\b", 0.3),
+    ),
+    "code": ((r"\bexample\b", 0.5), (r"\bimplement(ation)?\b", 0.5), (r"\bcode\s+(for|that)\b", 0.5), (r"\bloop\b", 0.3), (r"\bconditional\b", 0.3), (r"\balgorithm\b", 0.4), (r"\blogic\b", 0.3)),
+}
+BALANCED = 0.3
+QUESTIONS, VERBS = ("how", "what", "why", "when", "where"), ("get", "set", "create", "delete", "update", "find")
+SOURCE_FILE = r"\.(py|ts|js|go|java|rs)\b"
+
+
+def intent_probabilities(query: Column) -> Column:
+    """A map from intents to probabilities: sums of matching patterns (one at most), adjusted by the query as a whole, through a softmax.
+
+    A lone identifier of at most two words speaks for symbol; question words or
+    more than eight words for concept; two verbs or a source file for code;
+    "from x to y" for flow.
+    """
+    words = F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda w: w != "")
+    has = lambda pattern: F.regexp_like(query, F.lit(pattern))
+    when = lambda condition, points: F.when(condition, points).otherwise(0.0)
+    more = {
+        "symbol": when((F.size(words) <= 2) & has(r"^[\w.]+$"), 0.5),
+        "flow": when(has(r"(?i)\bfrom\s+\w+\s+to\s+\w+"), 0.5),
+        "concept": when(F.arrays_overlap(words, F.array(*map(F.lit, QUESTIONS))), 0.3) + when(F.size(words) > 8, 0.3),
+        "code": when(F.size(F.filter(words, lambda w: w.isin(*VERBS))) >= 2, 0.3) + when(has(SOURCE_FILE), 0.4),
+    }
+    weight = {"balanced": F.exp(F.lit(BALANCED))}
     for intent, patterns in INTENTS.items():
-        total = sum((F.when(F.regexp_like(query, F.lit(p)), 0.5).otherwise(0.0) for p in patterns), F.lit(0.0))
-        entries += [F.lit(intent), F.least(F.lit(1.0), total)]
-    return F.create_map(*entries)
+        found = sum((when(has(f"(?i){p}"), points) for p, points in patterns), F.lit(0.0))
+        weight[intent] = F.exp(F.least(F.lit(1.0), found) + more[intent])
+    total = sum(weight.values(), F.lit(0.0))
+    return F.create_map(*[x for intent in (*INTENTS, "balanced") for x in (F.lit(intent), weight[intent] / total)])
 
 
 def rule_intent(query: Column) -> Column:
-    """The intent with the highest score; ties go to symbol, flow, code, concept; none scores: balanced."""
-    scores = intent_scores(query)
-    best = F.greatest(*[scores[i] for i in INTENTS])
-    out = F.lit("balanced")
+    """The most probable intent; ties go to symbol, flow, code, concept, balanced."""
+    p = intent_probabilities(query)
+    best, out = F.greatest(*[p[i] for i in (*INTENTS, "balanced")]), F.lit("balanced")
     for intent in ("concept", "code", "flow", "symbol"):
-        out = F.when((scores[intent] == best) & (best > 0), F.lit(intent)).otherwise(out)
+        out = F.when(p[intent] == best, F.lit(intent)).otherwise(out)
     return out
 
 

@@ -42,11 +42,12 @@ def all_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """query_id, vec_id, score: the ``k`` nearest by cosine, exactly; queries are a stated set against all rows.
 
-    Queries are grouped into arrays of 64 so that a vector row meets a block of
-    them at once, and only each block's best ``k`` of a partition are shuffled.
+    Queries are grouped into arrays of about 64 so that a vector row meets a
+    block of them at once; Spark broadcasts the blocks only where they are small.
     """
-    blocks = queries.withColumn("block", F.floor(F.row_number().over(Window.orderBy("query_id")) / 64)).groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-    pairs = vectors.crossJoin(F.broadcast(blocks)).select("vec_id", "embedding", F.explode("qs").alias("q"))
+    number = max(1, queries.count() // 64)
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(number)).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))  # about 64 queries
+    pairs = vectors.crossJoin(blocks).select("vec_id", "embedding", F.explode("qs").alias("q"))
     scored = pairs.select("q.query_id", "vec_id", cosine(F.col("embedding"), F.col("q.embedding")).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -43,6 +43,8 @@ def run(flow: Flow, nodes: DataFrame, edges: DataFrame, flip: bool = True) -> Da
     if flow.inside is not None:
         scope = _ids(nodes, flow.inside)
         kept = kept.join(scope, kept["src"] == scope["id"], "left_semi").join(scope, F.col("dst") == scope["id"], "left_semi")
+    if flow.longest > 1:
+        kept = keep(kept, "path-edges")  # every depth reads them
     sources, targets = _ids(nodes, flow.source), _ids(nodes, flow.target)
     turned = flip and targets.count() * FLIP < sources.count()
     if turned:

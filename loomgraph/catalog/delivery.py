@@ -119,6 +119,24 @@ def x07(spark, sf):
     return parts[0].unionByName(parts[1]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@query("s30_rule_files", "SELECT n_regionkey::VARCHAR AS path, 'R' || n_nationkey AS rule_id, 'type.' || n_name AS type, 'call*' AS call, CASE WHEN n_nationkey % 2 = 0 THEN 'high' ELSE 'medium' END AS severity, NULL AS cwe, NULL AS error FROM nation UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, 'KeyError'")
+def s30(spark, sf):
+    """A rule file for each region, with a rule for each of its nations; and one whose rule has no id."""
+    n = read(spark, sf, "nation")
+    rule = F.concat(F.lit('{"id": "R'), _text("n_nationkey"), F.lit('", "type": "type.'), F.col("n_name"), F.lit('", "call": "call*"'), F.when(F.col("n_nationkey") % 2 == 0, ', "severity": "HIGH"').otherwise(""), F.lit("}"))
+    files = n.groupBy(_text("n_regionkey").alias("path")).agg(F.concat(F.lit('{"rules": ['), F.array_join(F.array_sort(F.collect_list(rule)), ", "), F.lit("]}")).alias("content"))
+    broken = spark.createDataFrame([("broken", '[{"call": "x"}]')], "path string, content string")
+    return K.rules_of(files.unionByName(broken))
+
+
+@query("d07_exact_tier", "SELECT p_partkey AS id, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN 'exact' ELSE 'none' END AS tier FROM part")
+def d07(spark, sf):
+    """Digests of names: equal ones are exact clones, different ones are not alike."""
+    from ..operators import clones as D
+
+    return D.tiers(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.sha2("p_name", 512).alias("code")))
+
+
 # --- analyses ---------------------------------------------------------------
 
 

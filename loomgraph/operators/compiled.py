@@ -79,3 +79,35 @@ def code_matches(files: DataFrame, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, line int, code string")
+
+
+RULE = "path string, rule_id string, type string, call string, severity string, cwe string, error string"
+
+
+def rules_of(files: DataFrame) -> DataFrame:
+    """The rules of YAML (or, without a YAML library, JSON) files (path, content): a list, or a mapping with a list ``rules``.
+
+    Each rule has an id and optionally type, call, severity (medium) and cwe.  A
+    file that cannot be read is one row with its error.
+    """
+    names = [c.split()[0] for c in RULE.split(", ")]
+
+    def run(batches):
+        try:
+            from yaml import YAMLError, safe_load
+        except ImportError:
+            from json import JSONDecodeError as YAMLError
+            from json import loads as safe_load
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = safe_load(content or "") or []
+                    found = found.get("rules") or [] if isinstance(found, dict) else found
+                    rows += [(path, str(r["id"]), r.get("type"), r.get("call"), str(r.get("severity", "medium")).lower(), r.get("cwe"), None) for r in found]
+                except (YAMLError, KeyError, TypeError, AttributeError) as e:
+                    rows.append((path, None, None, None, None, None, type(e).__name__))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
+    return files.select("path", "content").mapInArrow(run, RULE)

@@ -31,11 +31,15 @@ CONSTRAINT = T.StructType([T.StructField("kind", T.StringType()), T.StructField(
 
 # Kinds of nodes and edges, chunk levels and effect severities of the data model.
 NODE_KINDS = (
-    "File Module Class Interface Function Method Variable Field Import Enum TypeAlias Lambda MethodReference TypeParameter Property Constant Export Expression Block Condition Loop TryCatch Type Signature CfgBlock "
-    "ExternalModule ExternalFunction ExternalType Route Service Repository Config Job Middleware Summary Document TemplateDoc TemplateElement TemplateSlot TemplateDirective"
-).split()
+    "File", "Module", "Class", "Interface", "Function", "Method", "Variable", "Field", "Import", "Enum", "TypeAlias", "Lambda", "MethodReference",
+    "TypeParameter", "Property", "Constant", "Export", "Expression", "Block", "Condition", "Loop", "TryCatch", "Type", "Signature", "CfgBlock",
+    "ExternalModule", "ExternalFunction", "ExternalType", "Route", "Service", "Repository", "Config", "Job", "Middleware", "Summary", "Document",
+    "TemplateDoc", "TemplateElement", "TemplateSlot", "TemplateDirective",
+)
 EDGE_KINDS = (
-    "CONTAINS DEFINES CALLS READS WRITES REFERENCES IMPORTS INHERITS IMPLEMENTS REFERENCES_TYPE REFERENCES_SYMBOL DECORATES INSTANTIATES OVERRIDES USES READS_RESOURCE WRITES_RESOURCE THROWS ROUTE_TO USES_REPO CAPTURES ACCESSES SHADOWS "
-    "CFG_NEXT CFG_BRANCH CFG_LOOP CFG_HANDLER ROUTE_HANDLER HANDLES_REQUEST USES_REPOSITORY MIDDLEWARE_NEXT DOCUMENTS REFERENCES_CODE DOCUMENTED_IN RENDERS BINDS ESCAPES CONTAINS_SLOT TEMPLATE_CHILD"
-).split()
+    "CONTAINS", "DEFINES", "CALLS", "READS", "WRITES", "REFERENCES", "IMPORTS", "INHERITS", "IMPLEMENTS", "REFERENCES_TYPE", "REFERENCES_SYMBOL",
+    "DECORATES", "INSTANTIATES", "OVERRIDES", "USES", "READS_RESOURCE", "WRITES_RESOURCE", "THROWS", "ROUTE_TO", "USES_REPO", "CAPTURES", "ACCESSES",
+    "SHADOWS", "CFG_NEXT", "CFG_BRANCH", "CFG_LOOP", "CFG_HANDLER", "ROUTE_HANDLER", "HANDLES_REQUEST", "USES_REPOSITORY", "MIDDLEWARE_NEXT",
+    "DOCUMENTS", "REFERENCES_CODE", "DOCUMENTED_IN", "RENDERS", "BINDS", "ESCAPES", "CONTAINS_SLOT", "TEMPLATE_CHILD",
+)
 CHUNK_LEVELS = {"repo": 0, "project": 1, "module": 2, "file": 3, "class": 4, "function": 5}

@@ -242,13 +242,26 @@ def j22(spark, sf):
     return best.select("query_id", "chunk_id", F.round(F.when(match, F.col("score") * 1.1).otherwise(F.col("score")), 6).alias("score"))
 
 
-@query("w13_packing")
+@query("w13_packing", _RRF.replace("WITH ", "WITH RECURSIVE ", 1) + """, items AS (SELECT query_id, chunk_id, rank, (substr(chunk_id, 3)::INT * 37 % 400 + 50)::BIGINT AS tokens FROM top WHERE rank <= 12),
+r(query_id, rank, used, take, chunk_id) AS (
+  SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM items
+  UNION ALL SELECT query_id, rank, used + take, take, chunk_id FROM (
+    SELECT i.query_id, i.rank, r.used, i.chunk_id, CASE WHEN r.used >= 950 THEN 0 WHEN i.tokens <= 1000 - r.used THEN i.tokens WHEN 1000 - r.used > 200 THEN 1000 - r.used ELSE 0 END AS take
+    FROM r JOIN items i ON i.query_id = r.query_id AND i.rank = r.rank + 1))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS place, chunk_id, take AS tokens FROM r WHERE take > 0""")
 def w13(spark, sf):
     top = R.top_k(_fused(spark, sf), 12)
     return R.packed(top.withColumn("tokens", (F.substring("chunk_id", 3, 9).cast("int") * 37 % 400 + 50).cast("long")), 1000)
 
 
-@query("w12_overlap_dedup")
+@query("w12_overlap_dedup", """WITH RECURSIVE li AS (SELECT l_orderkey AS file, (l_partkey % 40)::INT AS s, (l_partkey % 40 + floor(l_quantity))::INT AS e, 1 - l_discount AS score FROM lineitem),
+it AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, s, e) AS i, count(*) OVER (PARTITION BY file) AS n FROM li),
+r(file, i, n, done) AS (
+  SELECT DISTINCT file, 0::BIGINT, n, []::STRUCT(s INT, e INT, score DOUBLE)[] FROM it
+  UNION ALL SELECT file, i, n, CASE WHEN w >= 1 THEN done ELSE list_append(done, {'s': s, 'e': e, 'score': CASE WHEN w >= 0.5 THEN score * 0.5 ELSE score END::DOUBLE}) END FROM (
+    SELECT r.file, it.i, r.n, r.done, it.s, it.e, it.score, coalesce(list_max([greatest(0, least(d.e, it.e) - greatest(d.s, it.s) + 1) / (it.e - it.s + 1)::DOUBLE FOR d IN r.done]), 0) AS w
+    FROM r JOIN it ON it.file = r.file AND it.i = r.i + 1))
+SELECT file, d.s AS start, d.e AS "end", round(d.score, 6) AS score FROM (SELECT file, unnest(done) AS d FROM r WHERE i = n)""")
 def w12(spark, sf):
     li = read(spark, sf, "lineitem")
-    return R.overlap_dedup(li.select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_partkey") % 40 + F.col("l_quantity")).cast("int").alias("end"), (1 - F.col("l_discount")).alias("score")))
+    return _r(R.overlap_dedup(li.select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_partkey") % 40 + F.col("l_quantity")).cast("int").alias("end"), (1 - F.col("l_discount")).alias("score"))), "score")

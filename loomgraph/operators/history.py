@@ -82,16 +82,28 @@ def symbol_changes(a: DataFrame, b: DataFrame, files: list[str] | None = None) -
 def rename_pairs(added: DataFrame, deleted: DataFrame, least: float = 0.9, alike_least: float = 0.9) -> DataFrame:
     """path, old_path: each added file with its best deleted one of the same extension, by Jaccard of path parts and size ratio.
 
-    Candidates share the extension and a path part, so only an equi join is made.
+    Candidates share the extension and one of the rarest parts of both: in one
+    order of all parts, two paths of Jaccard similarity s share one of the first
+    n - s * n + 1 parts of each.  Sizes cut the pairs inside the join.
     """
     def parts(df, path, size, out):
         return df.select(F.col(path).alias(out), F.col(size).alias(f"{out}_size"), F.element_at(F.split(path, r"\."), -1).alias("ext"), F.array_distinct(F.split(path, "/")).alias(f"{out}_parts"))
 
     a, d = parts(added, "path", "size", "path"), parts(deleted, "path", "size", "old_path")
-    one = a.withColumn("part", F.explode("path_parts")).join(d.withColumn("part", F.explode("old_path_parts")), ["ext", "part"]).drop("part").dropDuplicates(["path", "old_path"])
+    often = a.select(F.explode("path_parts").alias("part")).unionByName(d.select(F.explode("old_path_parts").alias("part"))).groupBy("part").agg(F.count("*").alias("c"))
+
+    def rare(df, name):
+        order = F.array_sort(F.collect_list(F.struct("c", "part")))  # the parts of one path
+        sized = df.select(name, f"{name}_size", "ext", F.explode(f"{name}_parts").alias("part")).join(often, "part").groupBy(name, f"{name}_size", "ext").agg(order.alias("order"))
+        first = F.size("order") - F.ceil(F.lit(float(alike_least)) * F.size("order") - 1e-9).cast("int") + 1
+        return sized.select(name, f"{name}_size", "ext", F.explode(F.slice("order", F.lit(1), F.greatest(F.lit(1), F.least(first, F.size("order"))))).alias("o")).select(name, f"{name}_size", "ext", "o.part")
+
     ratio = F.least("path_size", "old_path_size") / F.greatest("path_size", "old_path_size")
+    near = (ratio >= least) | F.col("old_path_size").isNull()
+    pairs = rare(a, "path").join(rare(d, "old_path"), ["ext", "part"]).where(near).select("path", "old_path").distinct()
+    one = pairs.join(a.drop("ext").dropDuplicates(["path"]), "path").join(d.drop("ext").dropDuplicates(["old_path"]), "old_path")
     alike = F.size(F.array_intersect("path_parts", "old_path_parts")) / F.size(F.array_union("path_parts", "old_path_parts"))
-    kept = one.withColumn("alike", alike).where((ratio >= least) | F.col("old_path_size").isNull()).where(F.col("alike") >= alike_least)
+    kept = one.withColumn("alike", alike).where(near).where(F.col("alike") >= alike_least)
     by = Window.partitionBy("path").orderBy(F.desc("alike"), "old_path")
     return kept.withColumn("r", F.row_number().over(by)).where("r = 1").select("path", "old_path", "alike")
 

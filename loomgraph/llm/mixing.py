@@ -30,7 +30,7 @@ from .shared import keep, table
 WEIGHTS = (5, 2, 1)
 BLOCKS = 4096
 #: Leading bits of a turn that make a piece of a shard.
-PIECES = 6
+PIECES = 12
 #: What a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 

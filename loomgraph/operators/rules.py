@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import pattern_class, wildcard_match
 
 
+#: Parts that the entities of one character, or all of them, are dealt to.
+SALTS = 64
+
+
 def tier(type_pattern: Column, call_pattern: Column) -> Column:
     """1: two exact keys; 2: one exact key, or one wildcard beside it, or a lone simple prefix or suffix; else 3."""
     present = [F.coalesce(F.length(p) > 0, F.lit(False)) for p in (type_pattern, call_pattern)]
@@ -51,9 +55,9 @@ def matches(rules: DataFrame, entities: DataFrame, text: str = "text") -> DataFr
     grams = e.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low_text") - 2)), lambda i: F.substring("low_text", i, F.lit(3))))))
     gram = keyed.where("gram is not null").join(grams.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g")).where(wildcard_match(F.col("pattern"), F.col("text")))
     # without three literal characters in a row the first literal character is the key, none meets all
-    tiny = keyed.where("gram is null").withColumn("first", F.substring("body", 1, 1))
-    chars = e.withColumn("c", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.split("low_text", "")))))
-    small = tiny.join(chars, F.col("first") == F.col("c")).where(wildcard_match(F.col("pattern"), F.col("text")))
+    tiny = keyed.where("gram is null").withColumn("first", F.substring("body", 1, 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    chars = e.withColumn("c", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.split("low_text", ""))))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    small = tiny.join(chars, (F.col("first") == F.col("c")) & (F.col("salt") == F.col("part"))).where(wildcard_match(F.col("pattern"), F.col("text")))
     return reduce(DataFrame.unionByName, [x.select("rule_id", "id") for x in (exact, prefix, suffix, gram, small)])
 
 

@@ -504,6 +504,7 @@ def removed(texts: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT
     still = met.where(F.col("kind") == _OPEN)
     windows = F.sum(F.col("length") - (size - 1))
     heavy = still.groupBy("anchor").agg(F.count("*").alias("n"), windows.alias("windows")).where(F.col("n") > hot).select("anchor", (F.ceil(F.col("windows") / hot) + 1).cast("int").alias("buckets"))
+    heavy = keep(heavy, "suffix-heavy")  # a written table: Spark may broadcast it if it is small, or split a hot anchor's rows
     wanted = still.join(heavy, "anchor", "left").select("uid", F.struct("anchor", "start", "length", F.coalesce("buckets", F.lit(1)).alias("buckets")).alias("unit"))
     wanted = wanted.groupBy("uid").agg(F.collect_list("unit").alias("wanted"))  # units of one text
     cut = texts.join(wanted, "uid").select("rank", "uid", "body", "wanted").mapInArrow(_cut(size), "anchor long, bucket int, buckets int, rank long, uid long, start long, bytes binary")

@@ -253,10 +253,12 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, size: int) -> np.ndarra
     live = np.flatnonzero(before >= 0)
     for k in range(0, size, 8):
         differ = eight[live + k] ^ eight[before[live] + k]
-        low = differ & (~differ + np.uint64(1))  # its lowest set bit: the first byte that differs
-        same = np.where(differ == 0, 8, np.searchsorted(_BYTE, low, "right") - 1)
-        out[live] += same
-        live = live[same == 8]
+        same = differ == 0
+        last, differ = live[~same], differ[~same]
+        low = differ & (~differ + np.uint64(1))  # the lowest set bit: the first byte that differs
+        out[last] += np.searchsorted(_BYTE, low, "right") - 1
+        live = live[same]
+        out[live] += 8
     return np.minimum(out, np.minimum(size, np.minimum(n - np.arange(n), np.where(before >= 0, n - before, 0))))
 
 

@@ -18,7 +18,7 @@ have no token in common (they are out of step in a repetition), the later one is
 taken anew from a token's start in the earlier one, further and further back.
 
 Memory is bound by bytes, whatever the texts look like: a run of text holds
-``PIECE`` characters, a query ``QUERY_BYTES`` rows, and a task remembers words
+``PIECE`` characters, a query ``QUERY_BYTES`` rows, and a worker remembers words
 it has seen lately, in two generations of about ``KNOWN`` short words; the
 result does not depend on it.
 """
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from . import bytesets
 from .shared import table
 
-#: Rows of a query, words kept by a task (two generations), characters of text taken at a time.
-QUERY_BYTES, KNOWN, PIECE = 1 << 17, 150_000, 1 << 20
+#: Rows of a query, words kept by a worker (two generations), characters of text taken at a time.
+QUERY_BYTES, KNOWN, PIECE = 1 << 18, 300_000, 1 << 20
 #: Bytes of a word that is encoded in windows, bytes of a window, and from one window to the next; windows in hand at a time.
 LONG, WINDOW, STRIDE, WINDOWS = 192, 64, 40, 1 << 11
 
@@ -90,7 +90,7 @@ class Codec:
         self.names = [""] * (max(self.ranks.values()) + 1)
         for r in self.ranks.values():
             self.names[r] = str(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "240MB", "temp_directory": "", "preserve_insertion_order": False})
         # bytes are code points 256 and up here, so that any byte sequence is a string
         self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": ["".join(chr(256 + b) for b in t) for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM given")
@@ -116,7 +116,7 @@ class Codec:
                 to += 1
             length = np.array([len(x) for x in words[at:to]], np.int64)
             data = np.frombuffer(b"".join(words[at:to]), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+            pos = (np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
             got = self.query(ENCODE_SQL, w=np.repeat(np.arange(to - at, dtype=np.int32), length), pos=pos, id=self.byte_id[data])
             w, pos, ids = (got[c].to_numpy() for c in ("w", "pos", "id"))
             ends = np.searchsorted(w, np.arange(to - at + 1)).tolist()
@@ -206,14 +206,19 @@ class Codec:
 
 
 @contextmanager
-def codec(ranks_file: bytes) -> Iterator[Codec]:
-    """A codec for one task; a worker that waits for its next task holds no memory of it."""
-    this = Codec(ranks_file)
+def codec(ranks_file: bytes, forget: bool = False) -> Iterator[Codec]:
+    """This worker's codec for a rank file.  ``forget``: one for this task only, so that a waiting worker holds no memory of it."""
+    held = sys.__dict__.setdefault("_loomgraph_bpe", {})
+    key = hashlib.sha256(ranks_file).hexdigest()
+    this = held.pop(key, None) or Codec(ranks_file)
     try:
         yield this
     finally:
-        this.db.close()
-        this.known, this.older, this.ranks, this.names = {}, {}, {}, []
+        if forget:
+            this.db.close()
+            this.known, this.older, this.ranks, this.names = {}, {}, {}, []
+        else:
+            held[key] = this
         bytesets.trim()
 
 
@@ -251,14 +256,14 @@ def _ranks(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _mapped(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, rows, schema: pa.Schema, ddl: str) -> DataFrame:
+def _mapped(df: DataFrame, id_col: str, text_col: str, ranks: str | None, pattern: str, rows, schema: pa.Schema, ddl: str, forget: bool = False) -> DataFrame:
     """id and what ``rows`` (codec, pattern, texts of a batch) gives for each row of ``df``."""
     sent = _ranks(df.sparkSession, ranks)
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         cut = regex.compile(pattern)
-        with codec(sent.value) as this:
+        with codec(sent.value, forget) as this:
             for batch in batches:
                 cols = list(zip(*rows(this, cut, batch.column(1).to_pylist()), strict=True)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], names=["id", *schema.names])
@@ -300,11 +305,12 @@ def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: st
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, bytes binary")
 
 
-def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, forget: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and their ids decoded again.
 
     Defined like ``encode``.  The digests are built up run by run, so that the
-    ids of a long text are never held as a whole.
+    ids of a long text are never held as a whole.  ``forget``: workers drop their
+    words after each task, for jobs whose other stages need the memory.
     """
 
     def rows(this, cut, texts):
@@ -319,7 +325,7 @@ def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ra
         return [(n, a.hexdigest(), b.hexdigest()) for n, a, b in zip(counts, named, plain, strict=True)]
 
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _mapped(df, id_col, text_col, ranks, pattern, rows, schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(df, id_col, text_col, ranks, pattern, rows, schema, "n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

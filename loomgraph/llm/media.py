@@ -147,7 +147,8 @@ def addresses(index: DataFrame) -> DataFrame:
 
 
 def _ranged(places: DataFrame, folder: str, read, schema: str) -> DataFrame:
-    """``read(file, offset, length)`` for each place, shard by shard, in the order of the offsets."""
+    """Each place with ``read(file, offset, length)``, shard by shard, in the order of the offsets."""
+    schema = f"shard string, offset long, length long, {schema}"
     fields = [c.split() for c in f"digest string, {schema}".split(", ")]
     names, kinds = [n for n, _ in fields], [pa.int64() if k == "long" else pa.string() for _, k in fields]
 
@@ -161,7 +162,7 @@ def _ranged(places: DataFrame, folder: str, read, schema: str) -> DataFrame:
                     if file:
                         file.close()
                     name, file = shard, where.open_input_file(f"{path}/{shard}")
-                rows.append((digest, *read(file, offset, length)))
+                rows.append((digest, shard, offset, length, *read(file, offset, length)))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds], names=names)
         if file:
             file.close()
@@ -180,22 +181,20 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """digest and what the stored bytes show, read back whole; a wrong payload is an error."""
+    """digest, place, what the header shows (read by itself) and what the stored bytes show, read back whole; a wrong payload is an error."""
 
     def read(file, offset, length):
+        head = png_header(file.read_at(HEADER, offset))
         stored = file.read_at(length, offset)
         payload = from_png(stored)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)
+        return *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)
 
-    return _ranged(places, folder, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _ranged(places, folder, read, "width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "media")
     index = store(table(spark, sf_dir, "documents"), folder)
-    places = keep(addresses(index), "media-places")
-    seen = keep(features(places, folder), "media-features")
-    heads = keep(metadata(places, folder), "media-heads")
-    contents = places.join(heads, "digest").join(seen, "digest")
+    contents = keep(features(addresses(index), folder), "media-features")
     shown = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits"]
     return index.select(F.col("id").alias("doc_id"), "n_bytes", "digest").join(contents, "digest").select(*shown)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans import paths
 from ..storage import keep
+from .pairs import expanded
 
 
 def points_to_unified(constraints: DataFrame) -> DataFrame:
@@ -241,3 +242,19 @@ def propagated(start: DataFrame, edges: DataFrame) -> DataFrame:
         front = keep(better.select("node", F.col("sent").alias("value")), "ide-front")
         known = keep(known.join(front.select("node"), "node", "left_anti").unionByName(front), "ide-known")
     return known
+
+
+def holding(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, line, n: each different point with the number of spans (file, start, end) that hold it, also 0.
+
+    A running total over the lines where spans begin and end; a file's task sees
+    each of its lines once, however many spans and points lie there.
+    """
+    s = spans.where(F.col("start") <= F.col("end"))
+    turns = s.select("file", F.col("start").cast("long").alias("line"), F.lit(1).alias("d")).unionByName(s.select("file", (F.col("end").cast("long") + 1).alias("line"), F.lit(-1).alias("d")))
+    asked = points.select("file", F.col("line").cast("long").alias("line"), F.lit(0).alias("d"), F.lit(True).alias("asked"))
+    each = turns.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("file", "line").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
+    total = F.sum("d").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("n", total).where("asked").select("file", F.col("line").cast(points.schema["line"].dataType).alias("line"), "n")
+
+

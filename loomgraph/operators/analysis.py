@@ -109,15 +109,31 @@ def reaching_definitions(uses: DataFrame, defs: DataFrame) -> DataFrame:
 def innermost(points: DataFrame, spans: DataFrame, slot: int = 64) -> DataFrame:
     """Each point (file, line) with the smallest span (id, file, start, end) that holds it; ties by id, none: null.
 
-    Spans are put into slots of lines, so the interval join is an equi join.
+    Spans of equal lines are one, by their smallest id, and are put into slots of
+    lines, so the interval join is an equi join.
     """
-    s = spans.select("id", "file", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor(F.col("end") / slot))).alias("slot"))
+    one = spans.groupBy("file", "start", "end").agg(F.min("id").alias("id"))
+    s = one.select("id", "file", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor(F.col("end") / slot))).alias("slot"))
     p = points.select("file", "line").distinct().withColumn("slot", F.floor(F.col("line") / slot))
     hit = p.join(s, ["file", "slot"]).where(F.col("line").between(F.col("start"), F.col("end")))
     best = hit.groupBy("file", "line").agg(F.min_by("id", F.struct((F.col("end") - F.col("start")).alias("size"), "id")).alias("id"))
     return points.join(best, ["file", "line"], "left")
 
 
+def holding(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, line, n: each different point with the number of spans (file, start, end) that hold it, also 0.
+
+    A running total over the lines where spans begin and end; a file's task sees
+    each of its lines once, however many spans and points lie there.
+    """
+    s = spans.where(F.col("start") <= F.col("end"))
+    turns = s.select("file", F.col("start").cast("long").alias("line"), F.lit(1).alias("d")).unionByName(s.select("file", (F.col("end").cast("long") + 1).alias("line"), F.lit(-1).alias("d")))
+    asked = points.select("file", F.col("line").cast("long").alias("line"), F.lit(0).alias("d"), F.lit(True).alias("asked"))
+    each = turns.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("file", "line").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
+    total = F.sum("d").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("n", total).where("asked").select("file", F.col("line").cast(points.schema["line"].dataType).alias("line"), "n")
+
+
 def overlapping(spans: DataFrame, slot: int = 64) -> DataFrame:
     """Pairs a < b of spans of one file that share a line.
 
@@ -249,19 +265,3 @@ def propagated(start: DataFrame, edges: DataFrame) -> DataFrame:
         front = keep(better.select("node", F.col("sent").alias("value")), "ide-front")
         known = keep(known.join(front.select("node"), "node", "left_anti").unionByName(front), "ide-known")
     return known
-
-
-def holding(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """file, line, n: each different point with the number of spans (file, start, end) that hold it, also 0.
-
-    A running total over the lines where spans begin and end; a file's task sees
-    each of its lines once, however many spans and points lie there.
-    """
-    s = spans.where(F.col("start") <= F.col("end"))
-    turns = s.select("file", F.col("start").cast("long").alias("line"), F.lit(1).alias("d")).unionByName(s.select("file", (F.col("end").cast("long") + 1).alias("line"), F.lit(-1).alias("d")))
-    asked = points.select("file", F.col("line").cast("long").alias("line"), F.lit(0).alias("d"), F.lit(True).alias("asked"))
-    each = turns.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("file", "line").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
-    total = F.sum("d").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    return each.withColumn("n", total).where("asked").select("file", F.col("line").cast(points.schema["line"].dataType).alias("line"), "n")
-
-

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import keep
+
 
 def churn(commits: DataFrame) -> DataFrame:
     """One row a path: commits, added, deleted, first and last change, active days (1 at least), churn rate, frequency a week."""
@@ -79,33 +81,54 @@ def symbol_changes(a: DataFrame, b: DataFrame, files: list[str] | None = None) -
     return out.withColumn("change", F.when(F.col("change") == "modified", "signature_changed").otherwise(F.col("change")))
 
 
+#: A path part of more deleted files than this is common.
+COMMON = 64
+
+
 def rename_pairs(added: DataFrame, deleted: DataFrame, least: float = 0.9, alike_least: float = 0.9) -> DataFrame:
     """path, old_path: each added file with its best deleted one of the same extension, by Jaccard of path parts and size ratio.
 
-    Candidates share the extension and one of the rarest parts of both: in one
-    order of all parts, two paths of Jaccard similarity s share one of the first
-    n - s * n + 1 parts of each.  Sizes cut the pairs inside the join.
+    Files that share a part of at most ``COMMON`` deleted files meet by it.  Else two
+    files share common parts only, and their similarity is that of their classes
+    (extension, size, number of parts, common parts), so only the first path
+    of a class of deleted files can be the best one; two classes meet by one of
+    the first f - s * n + 1 of their f common parts, the rarest first.
     """
-    def parts(df, path, size, out):
-        return df.select(F.col(path).alias(out), F.col(size).alias(f"{out}_size"), F.element_at(F.split(path, r"\."), -1).alias("ext"), F.array_distinct(F.split(path, "/")).alias(f"{out}_parts"))
-
-    a, d = parts(added, "path", "size", "path"), parts(deleted, "path", "size", "old_path")
-    often = a.select(F.explode("path_parts").alias("part")).unionByName(d.select(F.explode("old_path_parts").alias("part"))).groupBy("part").agg(F.count("*").alias("c"))
-
-    def rare(df, name):
-        order = F.array_sort(F.collect_list(F.struct("c", "part")))  # the parts of one path
-        sized = df.select(name, f"{name}_size", "ext", F.explode(f"{name}_parts").alias("part")).join(often, "part").groupBy(name, f"{name}_size", "ext").agg(order.alias("order"))
-        first = F.size("order") - F.ceil(F.lit(float(alike_least)) * F.size("order") - 1e-9).cast("int") + 1
-        return sized.select(name, f"{name}_size", "ext", F.explode(F.slice("order", F.lit(1), F.greatest(F.lit(1), F.least(first, F.size("order"))))).alias("o")).select(name, f"{name}_size", "ext", "o.part")
-
-    ratio = F.least("path_size", "old_path_size") / F.greatest("path_size", "old_path_size")
-    near = (ratio >= least) | F.col("old_path_size").isNull()
-    pairs = rare(a, "path").join(rare(d, "old_path"), ["ext", "part"]).where(near).select("path", "old_path").distinct()
-    one = pairs.join(a.drop("ext").dropDuplicates(["path"]), "path").join(d.drop("ext").dropDuplicates(["old_path"]), "old_path")
-    alike = F.size(F.array_intersect("path_parts", "old_path_parts")) / F.size(F.array_union("path_parts", "old_path_parts"))
-    kept = one.withColumn("alike", alike).where(near).where(F.col("alike") >= alike_least)
-    by = Window.partitionBy("path").orderBy(F.desc("alike"), "old_path")
-    return kept.withColumn("r", F.row_number().over(by)).where("r = 1").select("path", "old_path", "alike")
+    def parts(df, out):
+        ps = F.array_distinct(F.split("path", "/"))
+        return df.select("path", "size").distinct().select(F.col("path").alias(out), F.col("size").alias(f"{out}_size"), F.element_at(F.split("path", r"\."), -1).alias("ext"), ps.alias(f"{out}_parts"))
+
+    a, d = parts(added, "path"), parts(deleted, "old_path")
+    often = keep(d.select(F.explode("old_path_parts").alias("part")).groupBy("part").agg(F.count("*").alias("c")), "path-parts")
+    near = (F.least("path_size", "old_path_size") / F.greatest("path_size", "old_path_size") >= least) | F.col("old_path_size").isNull()
+
+    def keyed(df, name, which):
+        return df.select(name, f"{name}_size", "ext", F.size(f"{name}_parts").alias(f"{name}_n"), F.explode(f"{name}_parts").alias("part")).join(often.where(which), "part")
+
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    split = lambda c: F.array_distinct(F.split(c, "/"))
+    met = keyed(a, "path", f"c <= {COMMON}").drop("c", "path_n").join(keyed(d, "old_path", f"c <= {COMMON}").drop("c", "old_path_n"), ["ext", "part"]).where(near)
+    rare = met.select("path", "old_path", share(split("path"), split("old_path")).alias("alike"))
+
+    def classes(df, name):
+        common = keyed(df, name, f"c > {COMMON}").groupBy(name, f"{name}_size", "ext", f"{name}_n").agg(F.array_sort(F.collect_list(F.struct("c", "part"))).alias(f"{name}_common"))
+        return common.withColumn(f"{name}_class", F.sha2(F.to_json(F.struct("ext", f"{name}_size", f"{name}_n", f"{name}_common")), 256))
+
+    def spread(df, name):
+        own = [f"{name}_class", f"{name}_size", f"{name}_n", f"{name}_common", "ext"]
+        extra = [F.min(name).alias(name)] if name == "old_path" else []
+        one = df.groupBy(f"{name}_class").agg(*[F.first(c).alias(c) for c in own[1:]], *extra)
+        first = F.size(f"{name}_common") - F.greatest(F.lit(1), F.ceil(F.lit(float(alike_least)) * F.col(f"{name}_n") - 1e-9).cast("int")) + 1
+        return one.withColumn("o", F.explode(F.slice(f"{name}_common", F.lit(1), F.greatest(F.lit(0), first)))).withColumn("part", F.col("o.part")).drop("o")
+
+    ca, cd = keep(classes(a, "path"), "path-classes"), classes(d, "old_path")
+    both = F.size(F.array_intersect("path_common", "old_path_common"))
+    linked = spread(ca, "path").join(spread(cd, "old_path"), ["ext", "part"]).where(near).withColumn("alike", both / (F.col("path_n") + F.col("old_path_n") - both)).where(F.col("alike") >= alike_least)
+    best = linked.groupBy("path_class").agg(F.min(F.struct((-F.col("alike")).alias("less"), F.col("old_path"))).alias("best"))
+    plain = ca.select("path", "path_class").join(best, "path_class").select("path", F.col("best.old_path").alias("old_path"), (-F.col("best.less")).alias("alike"))
+    kept = rare.where(F.col("alike") >= alike_least).unionByName(plain)
+    one = kept.groupBy("path").agg(F.min(F.struct((-F.col("alike")).alias("less"), F.col("old_path"))).alias("best"))
+    return one.select("path", F.col("best.old_path").alias("old_path"), (-F.col("best.less")).alias("alike"))
 
 
 def as_of(events: DataFrame, commits: DataFrame, key: str, at: str = "ts", commit_at: str = "commit_ts", value: str = "commit") -> DataFrame:

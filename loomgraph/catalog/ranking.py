@@ -220,9 +220,9 @@ def r21(spark, sf):
 
 @query("r13_multi_query_fusion", _H + ", v AS (SELECT query_id // 40 AS q, query_id, chunk_id, max(score) AS score FROM hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q, query_id ORDER BY score DESC, chunk_id) AS rank FROM v) SELECT q, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r GROUP BY ALL")
 def r13(spark, sf):
-    v = hits(spark, sf).groupBy(F.floor(F.col("query_id") / 40).alias("q"), F.col("query_id").cast("string").alias("source"), "chunk_id").agg(F.max("score").alias("score"))
-    fused = R.rrf(v.withColumnRenamed("q", "query_id")).withColumnRenamed("query_id", "q")
-    return _r(fused, "score")
+    each = hits(spark, sf).select(F.floor(F.col("query_id") / 40).alias("query_id"), F.col("query_id").cast("string").alias("source"), "chunk_id", "score")
+    v = R.by_query(each).groupBy("query_id", "source", "chunk_id").agg(F.max("score").alias("score"))
+    return _r(R.rrf(v, deal=False).withColumnRenamed("query_id", "q"), "score")
 
 
 @query("r26_mixed_ranking", _H + "SELECT query_id, chunk_id, score FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, source) = 1 ORDER BY score DESC, query_id, chunk_id LIMIT 40")

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 # Fusion constants of the channels.
 RRF_K = {"vector": 70.0, "lexical": 70.0, "symbol": 50.0, "graph": 50.0}
 
 
-def ranked(hits: DataFrame) -> DataFrame:
-    """1-based rank in each query's channel, by score, ties by chunk."""
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "chunk_id")))
+def by_query(rows: DataFrame) -> DataFrame:
+    """Rows dealt by query: ranks, sums and joins by the query that follow shuffle nothing more."""
+    return dealt(rows, "query_id")
+
+
+def ranked(hits: DataFrame, deal: bool = True) -> DataFrame:
+    """1-based rank in each query's channel, by score, ties by chunk; without ``deal`` the hits lie by query already."""
+    return (by_query(hits) if deal else hits).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "chunk_id")))
 
 
-def rrf(hits: DataFrame, k: float = 60.0) -> DataFrame:
+def rrf(hits: DataFrame, k: float = 60.0, deal: bool = True) -> DataFrame:
     """Sum of 1 / (k + rank) over the channels."""
-    return ranked(hits).groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+    return ranked(hits, deal).groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
 def weighted_rrf(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -47,7 +54,7 @@ def normalized(hits: DataFrame, method: str) -> DataFrame:
         norm = 1.0 - (F.row_number().over(by.orderBy(F.desc("score"), "chunk_id")) - 1) / n
     else:
         raise ValueError(f"unknown normalisation {method}")
-    return hits.withColumn("norm", norm)
+    return by_query(hits).withColumn("norm", norm)
 
 
 def penalized(norm: Column, virtual: Column) -> Column:
@@ -147,16 +154,16 @@ def retrieval_metrics(ranked_hits: DataFrame, golden: DataFrame, k: int) -> Data
 
     ``ranked_hits``: query_id, chunk_id, rank; relevance is binary; the ideal gain is over min(relevant, k).
     """
-    total = golden.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    top = ranked_hits.where(F.col("rank") <= k)
-    hit = top.join(golden.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").fillna(0, ["hit"])
+    total = by_query(golden).groupBy("query_id").agg(F.count("*").alias("relevant"), F.collect_set("chunk_id").alias("golden"))
+    top = ranked_hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
+    hit = total.join(top, "query_id", "left").withColumn("hit", F.coalesce(F.array_contains("golden", F.col("chunk_id")), F.lit(False)).cast("int"))
     so_far = F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank"))
     hit = hit.withColumn("so_far", so_far)
-    g = hit.groupBy("query_id").agg(
-        F.sum("hit").alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
+    out = hit.groupBy("query_id").agg(
+        F.max("relevant").alias("relevant"), F.sum("hit").alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(F.when(F.col("hit") == 1, F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("precisions"),
     )
-    out = total.join(g, "query_id", "left").fillna(0, ["found", "dcg", "precisions"])
+    out = out.fillna(0, ["found", "dcg", "precisions"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     p, r = F.col("found") / F.lit(float(k)), F.col("found") / F.col("relevant")
     return out.select(

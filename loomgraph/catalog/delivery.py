@@ -172,9 +172,7 @@ def n16(spark, sf):
 @query("g48_graph_of_files", "SELECT 'node' AS part, kind, n * (SELECT count(*) FROM part) AS n FROM (VALUES ('module', 1), ('class', 1), ('method', 1)) v(kind, n) UNION ALL SELECT 'edge', kind, n * (SELECT count(*) FROM part) FROM (VALUES ('IMPORTS', 1), ('CONTAINS', 2), ('INHERITS', 1), ('READS', 5), ('CALLS', 1)) v(kind, n)")
 def g48(spark, sf):
     """Symbols and relations of files as nodes and edges of one graph."""
-    files = _modules(spark, sf)
-    n = P.python_symbols(files).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n")
-    return n.unionByName(P.python_relations(files).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "kind", "n"))
+    return P.python_graph(_modules(spark, sf)).groupBy("part", "kind").agg(F.count("*").alias("n"))
 
 
 # --- bounded searches -------------------------------------------------------

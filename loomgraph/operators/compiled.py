@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wildcard_match
+from ..sources.parsers import spread
 
 
 def compiled(spec: dict) -> Column:
@@ -78,7 +79,7 @@ def code_matches(files: DataFrame, pattern: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, "path string, line int, code string")
+    return spread(files).mapInArrow(run, "path string, line int, code string")
 
 
 RULE = "path string, rule_id string, type string, call string, severity string, cwe string, error string"
@@ -110,4 +111,4 @@ def rules_of(files: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
 
-    return files.select("path", "content").mapInArrow(run, RULE)
+    return spread(files).mapInArrow(run, RULE)

@@ -152,26 +152,39 @@ def parse_source(path: str, code: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, relations
 
 
-def _rows(files: DataFrame, which: int, schema: T.StructType) -> DataFrame:
+def spread(files: DataFrame) -> DataFrame:
+    """path, content dealt to all cores: a table of few bytes is read by few tasks, however long its files take to parse."""
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return files.select("path", "content").repartition(tasks, "path")
+
+
+def _rows(files: DataFrame, rows_of, schema: T.StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            rows = [r for path, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse_source(path, code)[which]]
+            rows = [r for path, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rows_of(*parse_source(path, code))]
             columns = list(zip(*rows, strict=True)) or [()] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return spread(files).mapInArrow(run, schema)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    return _rows(files, 0, SYMBOL)
+    return _rows(files, lambda symbols, relations: symbols, SYMBOL)
 
 
 def python_relations(files: DataFrame) -> DataFrame:
-    return _rows(files, 1, RELATION)
+    return _rows(files, lambda symbols, relations: relations, RELATION)
+
+
+def python_graph(files: DataFrame) -> DataFrame:
+    """path, part (node or edge), kind, src (a node's name), dst, line of the symbols and relations of files, each parsed once."""
+    schema = T.StructType([RELATION["path"], T.StructField("part", T.StringType()), *RELATION.fields[1:]])
+    return _rows(files, lambda symbols, relations: [(s[0], "node", s[1], s[3], None, s[5]) for s in symbols] + [(r[0], "edge", *r[1:]) for r in relations], schema)
 
 
 def document_chunks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 100) -> DataFrame:

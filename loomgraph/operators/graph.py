@@ -11,9 +11,10 @@ from ..storage import keep
 
 def degrees(edges: DataFrame) -> DataFrame:
     """node, outgoing, incoming."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outgoing"))
-    inc = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("incoming"))
-    return out.join(inc, "node", "full").fillna(0, ["outgoing", "incoming"])
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    # ends that are null stay apart by their side
+    sided = ends.select("e.*").groupBy("node", (F.col("node").isNull() & (F.col("o") == 1)).alias("side"))
+    return sided.agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming")).drop("side")
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ def dependence_graph(control: DataFrame, data: DataFrame) -> DataFrame:
 
 def cheapest(edges: DataFrame, starts: DataFrame, most_cost: float = 30.0, depth: int = 5) -> DataFrame:
     """start, node, cost: least cost of a walk of at most ``depth`` edges (src, dst, cost), by rounds of relaxation."""
-    e = keep(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")), "costs")
-    best = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("cost"))
+    e = keep(edges.select("src", "dst", F.col("cost").alias("step")), "costs")  # of parallel edges the least cost stays
+    best = keep(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("cost")), "costs-now")
     for _ in range(depth):
         more = best.join(e, best["node"] == e["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= most_cost)
         best = keep(best.unionByName(more).groupBy("start", "node").agg(F.min("cost").alias("cost")), "costs-now")

@@ -94,7 +94,7 @@ def u12(spark, sf):
 
 @query("g23_transitive_dependencies", _closure("'REFERENCES', 'DATAFLOW', 'CONTAINS'", "DISTINCT src, src, 0 FROM e WHERE src IN ('o:1', 'o:7')", 3) + "SELECT start, count(*) AS n FROM m GROUP BY start")
 def g23(spark, sf):
-    return paths.reach(edges(spark, sf).where("kind != 'CALLS'"), _starts(spark, "o:1", "o:7"), 3).groupBy("start").agg(F.count("*").alias("n"))
+    return paths.reach(edges(spark, sf, repeats=True).where("kind != 'CALLS'"), _starts(spark, "o:1", "o:7"), 3).groupBy("start").agg(F.count("*").alias("n"))
 
 
 @query("g24_impact", _closure("'CALLS', 'CONTAINS'", "DISTINCT dst, dst, 0 FROM e WHERE dst LIKE 'n:%'", 5, True) + "SELECT start, sum((d = 1)::INT)::BIGINT AS direct, count(*) AS transitive FROM m GROUP BY start")

@@ -72,7 +72,7 @@ def a32(spark, sf):
 
 @query("g20_reachability", _closure("'CONTAINS', 'DATAFLOW'", "DISTINCT src, src, 0 FROM e WHERE src LIKE 'p:1%'", 4) + "SELECT start, node, d::INT AS distance FROM m")
 def g20(spark, sf):
-    e = edges(spark, sf).where("kind IN ('CONTAINS', 'DATAFLOW')")
+    e = edges(spark, sf, repeats=True).where("kind IN ('CONTAINS', 'DATAFLOW')")
     return paths.reach(e, e.where("src like 'p:1%'").select(F.col("src").alias("id")).distinct(), 4).select("start", "node", "distance")
 
 
@@ -164,7 +164,7 @@ def g34(spark, sf):
 
 @query("g35_cheapest", "WITH RECURSIVE " + EDGES + ", e AS (SELECT DISTINCT src, dst, CASE kind WHEN 'CALLS' THEN 1.0 WHEN 'CONTAINS' THEN 0.5 WHEN 'REFERENCES' THEN 2.0 WHEN 'DATAFLOW' THEN 1.2 END::DOUBLE AS c FROM edges), r(start, node, cost, d) AS (SELECT id, id, 0.0::DOUBLE, 0 FROM (VALUES ('o:1'), ('o:2')) v(id) UNION SELECT start, e.dst, cost + c, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 5) SELECT start, node, round(min(cost), 6) AS cost FROM r WHERE node <> start AND cost <= 30 GROUP BY ALL")
 def g35(spark, sf):
-    e = edges(spark, sf).withColumn("cost", G.edge_cost(F.col("kind")))
+    e = edges(spark, sf, repeats=True).withColumn("cost", G.edge_cost(F.col("kind")))
     return G.cheapest(e, _starts(spark, "o:1", "o:2")).select("start", "node", F.round("cost", 6).alias("cost"))
 
 
@@ -177,7 +177,7 @@ def g36(spark, sf):
 
 @query("g38_expansion", _closure("'REFERENCES', 'DATAFLOW', 'CONTAINS', 'CALLS'", "DISTINCT src, src, 0 FROM e WHERE src IN ('o:1', 'o:2', 'o:3')", 3) + "SELECT start, node, round(greatest(0.3, 1 - 0.15 * d), 6)::DOUBLE AS score FROM m QUALIFY row_number() OVER (PARTITION BY start ORDER BY d, node) <= 40")
 def g38(spark, sf):
-    return G.expanded(edges(spark, sf), _starts(spark, "o:1", "o:2", "o:3")).select("start", "node", F.round("score", 6).alias("score"))
+    return G.expanded(edges(spark, sf, repeats=True), _starts(spark, "o:1", "o:2", "o:3")).select("start", "node", F.round("score", 6).alias("score"))
 
 
 @query("g39_proximity", _E + ", u AS (SELECT src AS a, dst AS b FROM edges WHERE kind = 'CONTAINS' UNION SELECT dst, src FROM edges WHERE kind = 'CONTAINS'), p AS (SELECT a.id AS a, b.id AS b FROM (VALUES ('s:1'), ('s:2'), ('n:1')) a(id), (VALUES ('s:1'), ('n:1'), ('n:2'), ('r:1'), ('r:2')) b(id)) SELECT a, b, CASE WHEN a = b OR (a, b) IN (SELECT a, b FROM u) THEN 1.0 WHEN (a, b) IN (SELECT x.a, y.b FROM u x JOIN u y ON y.a = x.b) THEN 0.5 WHEN (a, b) IN (SELECT x.a, z.b FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = y.b WHERE x.a IN ('s:1', 's:2', 'n:1')) THEN 0.25 ELSE 0 END::DOUBLE AS proximity FROM p")
@@ -188,13 +188,13 @@ def g39(spark, sf):
 
 @query("g40_backward_slice", _closure("'CALLS', 'CONTAINS', 'DATAFLOW'", "'n:3', 'n:3', 0", 30, True) + "SELECT start, node FROM m UNION ALL SELECT 'n:3', 'n:3'")
 def g40(spark, sf):
-    e = edges(spark, sf)
+    e = edges(spark, sf, repeats=True)
     return G.slice_(e.where("kind IN ('CALLS', 'CONTAINS')"), e.where("kind = 'DATAFLOW'"), _starts(spark, "n:3"))
 
 
 @query("g40_thin_slice", _closure("'DATAFLOW'", "'s:3', 's:3', 0", 30, True) + "SELECT start, node FROM m UNION ALL SELECT 's:3', 's:3'")
 def g40b(spark, sf):
-    e = edges(spark, sf)
+    e = edges(spark, sf, repeats=True)
     return G.slice_(e.where("kind = 'CONTAINS'"), e.where("kind = 'DATAFLOW'"), _starts(spark, "s:3"), thin=True)
 
 

@@ -84,12 +84,12 @@ def g21(spark, sf):
 
 @query("g22_meeting_points", "WITH RECURSIVE " + EDGES + ", e AS (SELECT DISTINCT src, dst FROM edges), f(node) AS (SELECT 'p:1' UNION SELECT e.dst FROM f JOIN e ON e.src = f.node), b(node) AS (SELECT 'r:1' UNION SELECT e.src FROM b JOIN e ON e.dst = b.node) SELECT node FROM f WHERE node IN (SELECT node FROM b)")
 def g22(spark, sf):
-    return paths.meeting(edges(spark, sf), _starts(spark, "p:1"), _starts(spark, "r:1"))
+    return paths.meeting(edges(spark, sf, repeats=True), _starts(spark, "p:1"), _starts(spark, "r:1"))
 
 
 @query("u12_chop", "WITH RECURSIVE " + EDGES + ", e AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'REFERENCES'), f(node) AS (SELECT 'o:4' UNION SELECT e.dst FROM f JOIN e ON e.src = f.node), b(node) AS (SELECT id FROM (VALUES ('r:0'), ('r:1'), ('r:2'), ('r:3'), ('r:4')) v(id) UNION SELECT e.src FROM b JOIN e ON e.dst = b.node) SELECT node FROM f WHERE node IN (SELECT node FROM b)")
 def u12(spark, sf):
-    return paths.meeting(edges(spark, sf).where("kind != 'REFERENCES'"), _starts(spark, "o:4"), _starts(spark, *[f"r:{i}" for i in range(5)]))
+    return paths.meeting(edges(spark, sf, repeats=True).where("kind != 'REFERENCES'"), _starts(spark, "o:4"), _starts(spark, *[f"r:{i}" for i in range(5)]))
 
 
 @query("g23_transitive_dependencies", _closure("'REFERENCES', 'DATAFLOW', 'CONTAINS'", "DISTINCT src, src, 0 FROM e WHERE src IN ('o:1', 'o:7')", 3) + "SELECT start, count(*) AS n FROM m GROUP BY start")

@@ -240,7 +240,7 @@ def g32(spark, sf):
     name = lambda x: F.concat(F.lit("c:"), F.lpad(x.cast("string"), 9, "0"))
     round_ = c.where(F.col("c") <= ring).select(name(F.col("c")).alias("src"), name(F.col("c") % ring + 1).alias("dst"))
     other = c.where(F.col("c") > ring)
-    mates = other.where(F.col("c") % 4 == 0).join(other.select((F.col("c") - 1).alias("c")), "c")
+    mates = other.where(F.col("c") % 4 == 0).join(other.select((F.col("c") - 1).alias("c")).hint("merge"), "c")
     pairs = mates.select(name(F.col("c")).alias("src"), name(F.col("c") + 1).alias("dst"))
     below = other.select(name(F.col("c") % ring + 1).alias("src"), name(F.col("c")).alias("dst"))
     return paths.strong_components(round_.unionByName(pairs).unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(below))
